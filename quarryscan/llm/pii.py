@@ -121,7 +121,7 @@ def _spans(kind: Kind) -> Column:
             F.lit(kind.name).alias("kind"),
             (x["e"] - F.length(x["m"])).alias("start"),
             x["e"].alias("end"),
-            F.least(F.lit(1.0), F.lit(kind.score) + F.when(F.lower(F.right(x["p"], F.lit(REACH))).rlike(kind.context), F.lit(kind.near)).otherwise(F.lit(0.0))).alias("score"),
+            _raised(kind, x["p"]).alias("score"),
             kind.confirm(x["m"]).alias("ok"),
         ),
     )
@@ -154,6 +154,18 @@ def digest(rows: DataFrame) -> DataFrame:
     )
 
 
+def _raised(kind: Kind, before: Column) -> Column:
+    """The score of a confirmed span after `before`."""
+    near = F.lower(F.right(before, F.lit(REACH))).rlike(kind.context)
+    return F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, F.lit(kind.near)).otherwise(F.lit(0.0)))
+
+
+def _covered(kind: Kind) -> Callable[[Column, Column], Column]:
+    tag = F.lit(f"[{kind.name.upper()}]")
+    counts = lambda before, match: (match != "") & kind.confirm(match) & (_raised(kind, before) >= kind.least)
+    return lambda before, match: F.concat(before, F.when(counts(before, match), tag).otherwise(match))
+
+
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """The same rows with each confirmed span of `text` replaced by its kind in brackets; null stays null.
 
@@ -163,11 +175,6 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     for kind in kinds:
         proposed = out.withColumns(_proposed(kind, F.col("text")))
         found, between = F.col(f"_m_{kind.name}"), F.col(f"_p_{kind.name}")
-        raised = lambda p, kind=kind: F.lit(kind.score) + F.when(F.lower(F.right(p, F.lit(REACH))).rlike(kind.context), F.lit(kind.near)).otherwise(F.lit(0.0))
-        parts = F.zip_with(
-            between,
-            F.concat(found, F.array(F.lit(""))),
-            lambda p, m, kind=kind, raised=raised: F.concat(p, F.when((m != "") & kind.confirm(m) & (raised(p) >= kind.least), F.lit(f"[{kind.name.upper()}]")).otherwise(m)),
-        )
+        parts = F.zip_with(between, F.concat(found, F.array(F.lit(""))), _covered(kind))
         out = proposed.withColumn("text", F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(F.col("text"))).drop(f"_m_{kind.name}", f"_p_{kind.name}")
     return out.select(*docs.columns)

@@ -22,7 +22,7 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔ
 
 MEASURES = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_capitals", "n_exclaims", "n_digits",
+    "n_lines", "n_capitals", "n_exclaims", "n_digits", "n_stutters",
 )
 
 
@@ -46,6 +46,7 @@ RULES: tuple[Rule, ...] = (
     Rule("long_words", "word_chars > 40 * n_words"),
     Rule("capitals", "100 * n_capitals > 50 * word_chars"),
     Rule("exclamations", "100 * n_exclaims > 40 * n_words"),
+    Rule("stutters", "100 * n_stutters > 30 * n_words"),
     Rule("digits", "100 * n_digits > 50 * word_chars"),
 )
 
@@ -86,6 +87,7 @@ def measure(docs: DataFrame) -> DataFrame:
             "n_capitals": (size - _without(F.col("_t"), CAPITALS)).cast("long"),
             "n_exclaims": (size - _without(F.col("_t"), "!")).cast("long"),
             "n_digits": (size - _without(F.col("_t"), "0123456789")).cast("long"),
+            "n_stutters": F.size(F.filter("_w", lambda w, i: w == F.get(F.col("_w"), i - 1))).cast("long"),
             "_h": F.transform("_w", lambda w: F.xxhash64(w)),
         }
     ).drop("_w", "_l", "_t")
@@ -165,7 +167,8 @@ cov AS (SELECT rid, count(DISTINCT p + o) AS n FROM rep, range({WINDOW}) r(o) GR
 m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(translate(t, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), ''))::BIGINT AS word_chars,
        (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
        coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls)::BIGINT AS n_lines, (length(t) - length(translate(t, '{CAPITALS}', '')))::BIGINT AS n_capitals,
-       (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaims, (length(t) - length(translate(t, '0123456789', '')))::BIGINT AS n_digits
+       (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclaims, (length(t) - length(translate(t, '0123456789', '')))::BIGINT AS n_digits,
+       len(list_filter(list_zip(ws[1:len(ws) - 1], ws[2:len(ws)]), lambda x: x[1] = x[2]))::BIGINT AS n_stutters
       FROM w LEFT JOIN cov USING (rid))"""
     sql = lambda names: " OR ".join(f"({r.fails})" for r in RULES if r.name in names)
     bits = " | ".join(f"(CASE WHEN {r.fails} THEN {r.bit()} ELSE 0 END)" for r in RULES)
