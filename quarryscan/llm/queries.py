@@ -4,22 +4,43 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii, quality_rules
+from . import fingerprints, mixing, packing, pii, quality_classifier, quality_rules
 from .common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.neighbours(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.judged(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.documents_mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_packing": op2_packing,
+    "op3_fingerprints": op3_fingerprints,
     "op4_quality_rules": op4_quality_rules,
+    "op5_mixing": op5_mixing,
     "op7_pii": op7_pii,
 }
 ORACLE_SQL = {
