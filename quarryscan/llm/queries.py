@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing, pii, quality_classifier, quality_rules
+from . import fingerprints, mixing, ngram_join, packing, pii, quality_classifier, quality_rules
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pii.digest(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
@@ -41,6 +45,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op4_quality_rules": op4_quality_rules,
     "op5_mixing": op5_mixing,
+    "op6_ngram_join": op6_ngram_join,
     "op7_pii": op7_pii,
 }
 ORACLE_SQL = {
