@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, ngram_join, packing, pii, quality_classifier, quality_rules
+from . import fingerprints, mixing, ngram_join, packing, passages, pii, quality_classifier, quality_rules, toxicity
 from .common import table
 
 
@@ -39,6 +39,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = passages.remove(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_packing": op2_packing,
@@ -47,6 +56,8 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_ngram_join": op6_ngram_join,
     "op7_pii": op7_pii,
+    "op9_toxicity": op9_toxicity,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.oracle_sql(),
