@@ -18,7 +18,7 @@ ORACLE_SQL = None
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.judged(quality_rules.ledger(docs)).where("kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
