@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, ngram_join, packing, passages, pii, quality_classifier, quality_rules, toxicity
+from . import fingerprints, html_extract, mixing, ngram_join, packing, passages, pii, quality_classifier, quality_rules, toxicity
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.pages_text(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -56,6 +60,7 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_ngram_join": op6_ngram_join,
     "op7_pii": op7_pii,
+    "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
