@@ -1,7 +1,48 @@
-"""Registry of the engine's named queries and their DuckDB equivalents."""
+"""Registry of the engine's named queries and their DuckDB equivalents.
+
+The driver's documents table stands for recovered files: source is the artifact, a document a file.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "score_by_artifact"
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarryscan.operators import files as O
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("source").alias("artifact_id"), F.col("doc_id").alias("file_ord"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+def file_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line count and minification of every file."""
+    return O.shape(_files(spark, sf_dir)).select("file_ord", "line_count", "is_minified")
+
+
+def duplicate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of equal content within an artifact."""
+    return O.duplicates(_files(spark, sf_dir))
+
+
+def coverage_by_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.coverage(O.shape(_files(spark, sf_dir)))
+
+
+QUERIES: dict = {
+    "file_shape": file_shape,
+    "duplicate_files": duplicate_files,
+    "coverage_by_artifact": coverage_by_artifact,
+}
+_SHAPE = """SELECT coalesce(source, NULL) AS artifact_id, doc_id AS file_ord, coalesce(text, '') AS content,
+  (length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1)::BIGINT AS line_count FROM documents"""
+_SHAPE = f"SELECT *, length(content) // line_count > {O.MINIFIED_LINE} AS is_minified FROM ({_SHAPE})"
+ORACLE_SQL: dict[str, str] = {
+    "file_shape": f"SELECT file_ord, line_count, is_minified FROM ({_SHAPE})",
+    "duplicate_files": """SELECT source AS artifact_id, sha256(text) AS content_sha256, count(*)::BIGINT AS n_files, min(doc_id) AS first_file
+  FROM documents WHERE text <> '' GROUP BY 1, 2 HAVING count(*) > 1""",
+    "coverage_by_artifact": f"""SELECT artifact_id, count(*)::BIGINT AS n_files, sum(length(content))::BIGINT AS n_chars, sum(line_count)::BIGINT AS n_lines,
+  sum(CASE WHEN is_minified THEN length(content) ELSE 0 END)::BIGINT AS minified_chars FROM ({_SHAPE}) GROUP BY 1""",
+}
+FLAGSHIP = "coverage_by_artifact"
