@@ -185,13 +185,15 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
     scratch = Scratch(docs.sparkSession, "ngram")
     stored = scratch.write(sets(docs, size), "sets")
     rarity = _rarity(stored)
-    rows = _prefixes(stored, rarity, percent).withColumn("band", _band(F.col("n"), percent))
+    rows, mark = _prefixes(stored, rarity, percent), F.xxhash64("sid")
+    # Most shingles have one set only: they go by a narrow aggregate, before tiles are made.
+    common = rows.groupBy("gram").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo < hi").select("gram")
+    members = rows.join(common, "gram").withColumn("band", _band(F.col("n"), percent))
     # A member of a band is also offered to the next one, where its larger partners are.
-    tiles = rows.select("gram", "n", "sid", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile"))
+    tiles = scratch.write(members.select("gram", "n", "sid", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile")).distinct(), "members")
     centres = tiles.groupBy("gram", "tile").agg(F.min(F.struct("n", "sid")).alias("c"), F.max(F.struct("n", "sid")).alias("d")).where("c <> d").select("gram", "tile", "c")
-    shared = scratch.write(
-        tiles.join(centres, ["gram", "tile"]).select("gram", "tile", "n", "sid", "c").distinct(), "tiles"
-    )
+    shared = scratch.write(tiles.join(centres, ["gram", "tile"]).select("gram", "tile", "n", "sid", "c"), "tiles")
+    scratch.drop(tiles)
     meta = stored.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
     meta = scratch.write(meta.join(shared.select("sid").distinct(), "sid", "left_semi"), "meta")
     star = shared.where(F.col("sid") != F.col("c.sid")).where(_pairs_within(F.col("c.n"), F.col("n"), percent)).select(F.least("c.sid", "sid").alias("a"), F.greatest("c.sid", "sid").alias("b")).distinct()
