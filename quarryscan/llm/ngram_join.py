@@ -7,9 +7,9 @@ size, so hot passages come last). A tile is one such shingle and one band of set
 per hashed shingle bound the overlap from above (popcount of the exclusive or is at most the symmetric
 difference); what passes is verified by exact intersection of the sorted arrays.
 
-Tiles are worked in two steps so that groups of near copies don't become all their pairs: first
-every tile links its members to its smallest one, then only members of tiles that are still in different
-components are paired. Components come from hooking and pointer jumping over stored tables.
+Tiles are worked in steps so that groups of near copies don't become all their pairs: first
+every tile links its members to its smallest one; then, in rounds, the members outside a tile's largest component meet
+changing members of it; last, only members of a tile that are still in different components are paired. Components come from hooking and pointer jumping over stored tables.
 
 Defined cases: null or wordless texts have an empty set and no links, and are their own component; fewer than five words
 are one shingle; repeated rows share a component; a component without any id has a null id; an empty table
@@ -32,6 +32,8 @@ SIZE = 5
 THRESHOLD = 80  # percent
 #: Counters of the rarity order, and slots of the filter that spares unneeded sets a shuffle.
 COUNTERS, SLOTS = 1 << 16, 1 << 18
+#: At most so many rounds of linking to large components, with so many centres a round; pairs left per tile row that end them.
+ROUNDS, CLASSES, LINEAR = 6, 8, 2
 
 
 def _bits(grams: np.ndarray) -> bytes:
@@ -180,6 +182,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select("sid", "label")
 
 
+def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members, with their component's label, of the tiles that hold more than one component."""
+    placed = shared.join(labels, "sid", "left").select("gram", "tile", "n", "sid", F.coalesce("label", "sid").alias("label"))
+    open_ = placed.groupBy("gram", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "tile")
+    return placed.join(open_, ["gram", "tile"], "left_semi")
+
+
 def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     scratch = Scratch(docs.sparkSession, "ngram")
@@ -200,14 +209,31 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
     first = scratch.write(_bounded(star, meta, percent), "star")
     links = scratch.write(_verified(first, stored, percent), "links")
     labels = components(links, scratch)
-    # Tiles with members in different components: only pairs across them are still open.
-    placed = shared.join(labels, "sid", "left").select("gram", "tile", "n", "sid", F.coalesce("label", "sid").alias("label"))
-    open_ = placed.groupBy("gram", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "tile")
-    left = scratch.write(placed.join(open_, ["gram", "tile"], "left_semi"), "open")
+    # Tiles with members in different components: only pairs across them are still open. While these are many, the
+    # members outside a tile's largest component meet one member of it, another one in each round and class of shingles.
+    tested = first
+    for turn in range(ROUNDS + 1):
+        left = scratch.write(_open(shared, labels), "open")
+        parts = left.groupBy("gram", "tile", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(turn), F.pmod("gram", F.lit(CLASSES)), "sid"), "sid", "n")).alias("c"))
+        tiles_left = parts.groupBy("gram", "tile").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "label", F.col("c.sid").alias("sid"), F.col("c.n").alias("n"))).alias("c"))
+        size_left = tiles_left.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2).alias("pairs")).first()
+        if turn == ROUNDS or (size_left["pairs"] or 0) <= LINEAR * (size_left["rows"] or 0):
+            break
+        meet = left.join(tiles_left.select("gram", "tile", "c"), ["gram", "tile"]).where(F.col("label") != F.col("c.label")).where(_pairs_within(F.col("c.n"), F.col("n"), percent))
+        meet = meet.select(F.least("c.sid", "sid").alias("a"), F.greatest("c.sid", "sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        checked = scratch.write(_bounded(meet, meta, percent), "meet")
+        found = scratch.write(_verified(checked, stored, percent), "links")
+        scratch.drop(left)
+        tested = tested.union(checked)
+        if found.isEmpty():
+            left = scratch.write(_open(shared, labels), "open")
+            break
+        links = links.union(found)
+        labels = components(links, scratch)
     x, y = left.alias("x"), left.alias("y")
     across = (F.col("x.label") < F.col("y.label")) & _pairs_within(F.col("x.n"), F.col("y.n"), percent)
     rest = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.tile") == F.col("y.tile")) & across)
-    rest = rest.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    rest = rest.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
     second = scratch.write(_bounded(rest, meta, percent), "rest")
     more = scratch.write(_verified(second, stored, percent), "links")
     final = components(links.union(more), scratch)
