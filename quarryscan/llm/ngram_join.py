@@ -33,7 +33,7 @@ THRESHOLD = 80  # percent
 #: Counters of the rarity order, and slots of the filter that spares unneeded sets a shuffle.
 COUNTERS, SLOTS = 1 << 16, 1 << 18
 #: At most so many rounds of linking to large components, with so many centres a round; pairs left per tile row that end them.
-ROUNDS, CLASSES, LINEAR = 6, 8, 2
+ROUNDS, CLASSES, LINEAR = 2, 32, 2
 
 
 def _bits(grams: np.ndarray) -> bytes:
