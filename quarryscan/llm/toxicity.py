@@ -149,8 +149,19 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class:
     vectors = scratch.write(docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(held, "doc_id bigint, v map<int,int>"), "vectors")
     n_docs = vectors.count()
     idf = np.full(max(len(vocabulary), 1), np.log(1.0 + n_docs))
-    for r in vectors.select(F.explode(F.map_keys("v")).alias("t")).groupBy("t").count().collect():  # at most MOST_TERMS rows
-        idf[r["t"]] = np.log((1 + n_docs) / (1 + r["count"])) + 1
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A task counts its own documents first: one row for each term."""
+        total = np.zeros(len(idf), np.int64)
+        for batch in batches:
+            for v in batch.column(0).to_pylist():
+                for t, _ in v:
+                    total[t] += 1
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["t", "n"])
+
+    for r in vectors.select("v").mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).collect():  # at most MOST_TERMS rows
+        idf[r["t"]] = np.log((1 + n_docs) / (1 + r["n"])) + 1
     index = Index([known(w) for w, _ in sample], [y for _, y in sample], idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
