@@ -14,3 +14,37 @@ def test_template_goes_inside_the_content_root_and_copies_stay(spark):
     # The last three copy the first story with other text.
     got = _rows(spark, [page(i) for i in range(5)] + [page(0, f"<p>v{i}</p>") for i in range(3)])
     assert got == {i: s for i, s in enumerate(stories)} | {5 + i: f"{stories[0]}\nv{i}" for i in range(3)}
+
+
+def test_template_at_any_depth_on_every_page_of_a_host(spark):
+    page = lambda i: f"<body><div><div><div><div><p>Deep line</p></div><div><p>text {i}</p></div></div></div></div></body>"
+    assert _rows(spark, [page(i) for i in range(4)]) == {i: f"text {i}" for i in range(4)}
+
+
+def test_template_in_long_lists():
+    page = lambda name, n: "<body><div>" + "".join(f"<p>{name} {i}</p>" + "<p>Line of all pages</p>" * (i % 40 == 7) for i in range(n)) + "</div></body>"
+    text = html_extract.extract(page("a", 300), html_extract.parse(page("b", 170)))
+    assert text.count("Line of all pages") == 8 - 5
+    assert text.count("a ") == 300
+
+
+def test_copies_of_a_page_are_no_evidence(spark):
+    page = "<body><div><p>One</p><p>Two</p></div></body>"
+    assert _rows(spark, [page, page]) == {0: "One\nTwo", 1: "One\nTwo"}
+
+
+def test_alignment_is_the_best_of_all():
+    import random
+    from itertools import combinations
+
+    rng = random.Random(5)
+    for _ in range(150):
+        a, b = ([rng.choice("abcd") * rng.randrange(1, 3) for _ in range(rng.randrange(1, 7))] for _ in "xy")
+        x, y = (html_extract.Page(html_extract.parse("".join(f"<p>{t}</p>" for t in v))) for v in (a, b))
+        subs = lambda v: {c for n in range(len(v) + 1) for c in combinations(v, n)}
+        assert sum(x.size[k] for k in html_extract._constant(x, y) if a != b) == (max(sum(map(len, c)) for c in subs(a) & subs(b)) if a != b else 0)
+
+
+def test_deep_pages_end():
+    deep = "<div>" * 3000 + "<p>{}</p><p>same</p>"
+    assert html_extract.extract(deep.format("one"), html_extract.parse(deep.format("other words"))) == "one"
