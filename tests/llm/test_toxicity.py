@@ -31,6 +31,19 @@ def test_words_outside_the_vocabulary_count(spark):
     assert best(long) < 0.99
 
 
+def test_the_sample_keeps_the_balance_of_the_labels(spark):
+    (whole,), _ = _judged(spark, TOXIC, CLEAN, ["zebra"])
+    (part,), _ = _judged(spark, TOXIC, CLEAN, ["zebra"], per_class=20)
+    assert part["score"] == pytest.approx(whole["score"], abs=0.05)
+
+
+def test_weights_enter_prior_bare_and_vote():
+    index = toxicity.Index([{0: 1}, {0: 1}, {}, {}], [1, 0, 1, 0], np.ones(2), [1.0, 4.0, 1.0, 4.0])
+    assert index.prior == pytest.approx((0.8 + 1) / (4 + 2))
+    assert index.bare == pytest.approx((0.4 + index.prior) / (2 + 1))
+    assert index.score({0: 1}) == pytest.approx((0.4 / 0.05 + index.prior) / (2 / 0.05 + 1))
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_passed_over_blocks_change_nothing(seed):
     rng = np.random.default_rng(seed)
