@@ -44,6 +44,13 @@ def test_weights_enter_prior_bare_and_vote():
     assert index.score({0: 1}) == pytest.approx((0.4 / 0.05 + index.prior) / (2 / 0.05 + 1))
 
 
+def test_evidence_is_shared_with_the_nearest_toxic_examples(spark):
+    (row, calm), ids = _judged(spark, TOXIC, CLEAN, ["you are scum by the river", "we walk by the river and talk on"])
+    assert "scum" in row["evidence"].split(",") and "river" not in row["evidence"].split(",")
+    assert calm["evidence"] == "" and calm["nearest"]
+    assert {int(x.split(":")[0]) for x in row["nearest"].split(",")} <= set(ids)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_passed_over_blocks_change_nothing(seed):
     rng = np.random.default_rng(seed)
