@@ -78,13 +78,22 @@ BASE: tuple[Kind, ...] = (
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9]", _luhn, 0.8, "card|visa|master|karte|carte|tarjeta|pay", 0.2),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", lambda m: F.length(_digits(m)).between(8, 15), 0.6, "phone|call|tel|mobile|fax"),
 )
+#: Characters of an IBAN by country (ISO 13616 registry, then countries outside it that use the format).
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST AO CV GW MZ",
+    26: "IS TR DZ IR", 27: "BI DJ FR GR IT MC MR SM CF CG CM GA GQ KM MG TD", 28: "AL AZ BY CY DO GT HU LB NI PL SV BF BJ CI HN MA ML NE SN TG",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBANS = "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in _LENGTHS.items())
 EXTRA: tuple[Kind, ...] = (
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _mod97, 0.9, "iban|bank|account|konto|compte|cuenta", 0.1, 0.5),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_IBANS})(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2}", _mod97, 0.9, "iban|bank|account|konto|compte|cuenta", 0.1, 0.5),
     Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]-[0-9]", lambda m: ~m.rlike("^(?:000|666|9)|-00-|-0000$"), 0.3, "ssn|social|security|tax", 0.4, 0.5),
 )
 KINDS = (*BASE, *EXTRA)
-#: Code points before a span in which context words count.
+#: Code points before a span in which context words count, and the most spans that reach into them (no pattern matches less than two).
 REACH = 40
+_BEFORE = REACH // 2
 _CHUNK = 256
 
 
@@ -113,15 +122,29 @@ def _proposed(kind: Kind, text: Column) -> dict[str, Column]:
     }
 
 
+def _tails(kind: Kind) -> dict[str, Column]:
+    """The last code points of each piece with the match after it."""
+    found, between = F.col(f"_m_{kind.name}"), F.col(f"_p_{kind.name}")
+    return {f"_t_{kind.name}": F.zip_with(F.slice(between, 1, F.size(found)), found, lambda p, m: F.right(F.concat(F.right(p, F.lit(REACH)), m), F.lit(REACH)))}
+
+
+def _contexts(kind: Kind) -> dict[str, Column]:
+    """The whole text's last code points before each match and before the end."""
+    tails, between = F.col(f"_t_{kind.name}"), F.col(f"_p_{kind.name}")
+    last = lambda i: F.array_join(F.slice(tails, F.greatest(i - _BEFORE + 1, F.lit(1)), F.least(i, F.lit(_BEFORE))), "")
+    # A second mention keeps the optimizer from computing the tails anew for each match.
+    return {f"_c_{kind.name}": F.when(F.size(tails) >= 0, F.transform(between, lambda p, i: F.right(F.concat(last(i), F.right(p, F.lit(REACH))), F.lit(REACH))))}
+
+
 def _spans(kind: Kind) -> Column:
-    found, between, ends = F.col(f"_m_{kind.name}"), F.col(f"_p_{kind.name}"), F.col(f"_e_{kind.name}")
+    found, before, ends = F.col(f"_m_{kind.name}"), F.col(f"_c_{kind.name}"), F.col(f"_e_{kind.name}")
     rows = F.transform(
-        F.arrays_zip(found.alias("m"), F.slice(between, 1, F.size(found)).alias("p"), ends.alias("e")),
+        F.arrays_zip(found.alias("m"), F.slice(before, 1, F.size(found)).alias("c"), ends.alias("e")),
         lambda x: F.struct(
             F.lit(kind.name).alias("kind"),
             (x["e"] - F.length(x["m"])).alias("start"),
             x["e"].alias("end"),
-            _raised(kind, x["p"]).alias("score"),
+            _raised(kind, x["c"]).alias("score"),
             kind.confirm(x["m"]).alias("ok"),
         ),
     )
@@ -130,11 +153,12 @@ def _spans(kind: Kind) -> Column:
 
 def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """The input's columns and `spans`: kind, start, end, score, by kind as listed, then start."""
-    inner = [f"_{x}_{k.name}" for k in kinds for x in "mpe"]
+    inner = [f"_{x}_{k.name}" for k in kinds for x in "mpetc"]
     keep = [c for c in docs.columns if c not in ("spans", "_t", *inner)]
     plain = docs.select(*keep).withColumn("_t", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01", "\x02"))
     proposed = plain.withColumns({n: c for k in kinds for n, c in _proposed(k, F.col("_t")).items()}).drop("_t")
     steps = lambda k: F.zip_with(F.col(f"_m_{k.name}"), F.slice(f"_p_{k.name}", 1, F.size(f"_m_{k.name}")), lambda m, p: F.length(m) + F.length(p))
+    proposed = proposed.withColumns({n: c for k in kinds for n, c in _tails(k).items()}).withColumns({n: c for k in kinds for n, c in _contexts(k).items()})
     summed = proposed.withColumns({f"_e_{k.name}": steps(k) for k in kinds}).withColumns({f"_e_{k.name}": _running(F.col(f"_e_{k.name}")) for k in kinds})
     spans = F.transform(F.concat(*[_spans(k) for k in kinds]), lambda x: F.struct(x["kind"], x["start"], x["end"], x["score"]))
     return summed.withColumn("spans", spans).drop(*inner)
@@ -155,15 +179,15 @@ def digest(rows: DataFrame) -> DataFrame:
 
 
 def _raised(kind: Kind, before: Column) -> Column:
-    """The score of a confirmed span after `before`."""
-    near = F.lower(F.right(before, F.lit(REACH))).rlike(kind.context)
+    """The score of a confirmed span after `before`, its context."""
+    near = F.lower(before).rlike(kind.context)
     return F.least(F.lit(1.0), F.lit(kind.score) + F.when(near, F.lit(kind.near)).otherwise(F.lit(0.0)))
 
 
-def _covered(kind: Kind) -> Callable[[Column, Column], Column]:
+def _covered(kind: Kind) -> Callable[[Column], Column]:
     tag = F.lit(f"[{kind.name.upper()}]")
-    counts = lambda before, match: (match != "") & kind.confirm(match) & (_raised(kind, before) >= kind.least)
-    return lambda before, match: F.concat(before, F.when(counts(before, match), tag).otherwise(match))
+    counts = lambda x: (x["m"] != "") & kind.confirm(x["m"]) & (_raised(kind, x["c"]) >= kind.least)
+    return lambda x: F.concat(x["p"], F.when(counts(x), tag).otherwise(x["m"]))
 
 
 def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
@@ -173,8 +197,8 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """
     out = docs
     for kind in kinds:
-        proposed = out.withColumns(_proposed(kind, F.col("text")))
+        proposed = out.withColumns(_proposed(kind, F.col("text"))).withColumns(_tails(kind)).withColumns(_contexts(kind))
         found, between = F.col(f"_m_{kind.name}"), F.col(f"_p_{kind.name}")
-        parts = F.zip_with(between, F.concat(found, F.array(F.lit(""))), _covered(kind))
-        out = proposed.withColumn("text", F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(F.col("text"))).drop(f"_m_{kind.name}", f"_p_{kind.name}")
+        parts = F.transform(F.arrays_zip(between.alias("p"), F.concat(found, F.array(F.lit(""))).alias("m"), F.col(f"_c_{kind.name}").alias("c")), _covered(kind))
+        out = proposed.withColumn("text", F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(F.col("text"))).drop(*[f"_{x}_{kind.name}" for x in "mptc"])
     return out.select(*docs.columns)
