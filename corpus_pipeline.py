@@ -1,8 +1,8 @@
 """Corpus pipeline: quality rules, near-duplicate removal, redaction, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is stored as Parquet and read again as the next
-stage's docs. All but the last return the columns of documents. Rows that share an id count as one
-document; rows without an id are never dropped as near duplicates.
+stage's docs. All but the last return the columns of documents. Near duplicates are found by row, not by id; rows equal in
+every column count once.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quarryscan.llm import mixing, ngram_join, packing, pii, quality_rules
 from quarryscan.llm.common import Scratch, table
 
-#: Packing and the Jaccard join are not expressible in SQL; tests hold the stages against brute force.
+#: Packing and the Jaccard join are not expressible in SQL; tests hold run() and near-duplicate removal against brute force.
 ORACLE_SQL = None
 
 
@@ -22,11 +22,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each component stays."""
-    found = ngram_join.join(docs)
-    stays = found.where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.join(stays, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return once.unionByName(docs.where("doc_id is null"))
+    """Of each component the row with the smallest id stays, then the smallest hash of the text; rows without an id come last."""
+    keyed = docs.withColumn("_key", F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]))
+    found = ngram_join.join(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "_key")
+    stays = keyed.select("_key", order.alias("_order")).join(found, "_key").groupBy("component_id").agg(F.min("_order").alias("_first")).select(F.col("_first._key").alias("_key"))
+    return keyed.join(stays, "_key").dropDuplicates(["_key"]).select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
