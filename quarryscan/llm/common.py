@@ -30,21 +30,32 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The cluster's checkpoint folder. Without one, a temporary folder in local mode, else the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if base:
+        return base
+    set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if set_dir.isDefined():
+        return set_dir.get()
+    if not spark.sparkContext.master.startswith("local"):
+        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    base = "file://" + tempfile.mkdtemp(prefix="scratch-")
+    spark.sparkContext.setCheckpointDir(base)
+    return base
+
+
 class Scratch:
-    """Intermediate tables in the shared checkpoint folder; they cut lineage and outlive executors."""
+    """Intermediate tables in the shared checkpoint folder; they cut lineage and outlive executors.
+
+    A table is deleted by `drop`, or by `keep`, which deletes all but the ones named.
+    """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-        if not base:
-            set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-            if set_dir.isDefined():
-                base = set_dir.get()
-            else:
-                base = "file://" + tempfile.mkdtemp(prefix="scratch-")
-                spark.sparkContext.setCheckpointDir(base)
-        self.base = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.base = f"{_shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
         self.count = 0
+        self.live: dict[str, DataFrame] = {}
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         self.count += 1
@@ -53,6 +64,7 @@ class Scratch:
         (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
+        self.live[path] = out
         return out
 
     def drop(self, *frames: DataFrame) -> None:
@@ -62,6 +74,12 @@ class Scratch:
         for df in frames:
             path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+            self.live.pop(df._scratch_path, None)
+
+    def keep(self, *frames: DataFrame) -> None:
+        """Delete every table but these."""
+        kept = {df._scratch_path for df in frames}
+        self.drop(*[df for path, df in self.live.items() if path not in kept])
 
 
 def held_out(doc_id: Column) -> Column:

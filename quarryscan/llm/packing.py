@@ -14,8 +14,10 @@ stay null; an empty table gives no pieces. Of clashing columns only `doc_id` and
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,11 @@ from .common import Scratch, bounded_batches
 LIMIT = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
+#: Places where a token always begins: a blank or a line's end between other characters, after a line's end, and a point
+#: or comma after a letter. A text's ids are those of its pieces cut there.
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\n)(?=\S)|(?<=[a-z])(?=[.,])")
+#: Pieces whose ids a worker remembers, and the longest of them in characters; others are encoded anew.
+MEMO, MEMO_CHARS = 500_000, 40
 _LOADED: dict = {}
 
 
@@ -42,6 +49,49 @@ def _tokenizer(path: str | None):
     return _LOADED[path]
 
 
+class Coder:
+    """The tokenizer's ids of texts; those of short pieces are remembered, so that each distinct word is encoded about once."""
+
+    def __init__(self, path: str | None = None):
+        coder = _tokenizer(path)
+        self.encode_batch = getattr(coder, "encode_batch_fast", coder.encode_batch)
+        self.known: dict[str, bytes] = {}
+        # The cuts hold for byte-level pre-tokens without a normaliser; another tokenizer gets whole texts.
+        before = coder.pre_tokenizer
+        self.cuts = coder.normalizer is None and type(before).__name__ == "ByteLevel" and before.use_regex and not before.add_prefix_space
+        self.line_end = coder.encode("\n", add_special_tokens=False).ids[0] if self.cuts else None
+
+    def learn(self, new: list[str]) -> None:
+        """Encodes pieces many at once, a line's end between them; those that hold one or special text go alone."""
+        plain = [p for p in new if "\n" not in p and "<|" not in p]
+        odd = [p for p in new if "\n" in p or "<|" in p]
+        lots = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for lot, code in zip(lots, self.encode_batch(["\n".join(lot) for lot in lots], add_special_tokens=False)):
+            ids = np.array(code.ids, "<u4")
+            data, ends = ids.tobytes(), np.append(np.flatnonzero(ids == self.line_end), len(ids)).tolist()
+            begin = 0
+            for piece, end in zip(lot, ends, strict=True):
+                self.known[piece] = data[4 * begin : 4 * end]
+                begin = end + 1
+        for piece, code in zip(odd, self.encode_batch(odd, add_special_tokens=False)):
+            self.known[piece] = np.array(code.ids, "<u4").tobytes()
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.cuts:
+            return [np.array(e.ids, "<u4") for e in self.encode_batch(texts, add_special_tokens=False)]
+        cut = [_CUT.split(t) if t else [] for t in texts]
+        new = list({p for parts in cut for p in parts if p not in self.known})
+        if len(self.known) + len(new) > MEMO:
+            self.known.clear()
+            new = list({p for parts in cut for p in parts})
+        self.learn(new)
+        out = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4") for parts in cut]
+        for p in new:
+            if len(p) > MEMO_CHARS:
+                del self.known[p]
+        return out
+
+
 def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """Token pieces: doc_id, piece, start, length, ids_crc32, and the place `part`, `nth` (rank among
     the pieces of one length in that part)."""
@@ -49,15 +99,14 @@ def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer:
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seen = _tokenizer(tokenizer), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
-        encode = getattr(coder, "encode_batch_fast", coder.encode_batch)
+        coder, part, seen = Coder(tokenizer), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for at in range(0, len(ids), 64):
-                coded = encode([t or "" for t in texts.slice(at, 64).to_pylist()], add_special_tokens=False)
+                coded = coder.ids([t or "" for t in texts.slice(at, 64).to_pylist()])
                 for doc_id, code in zip(ids[at : at + 64], coded):
-                    tokens = np.array([*code.ids, end_id], "<u4")
+                    tokens = np.append(code, np.uint32(end_id)).astype("<u4")
                     first = len(tokens) % limit or limit
                     begin, end, k = 0, first, 0
                     while begin < len(tokens):
