@@ -1,19 +1,22 @@
 """N-gram Jaccard self-join of documents: sets of 5-word shingles that overlap by at least 80%.
 
 Equal sets are one class from the start. Two sets that reach the threshold share one of the first
-n - ceil(0.8 n) + 1 shingles of each in any common order; the order here is by rarity (a counter table of fixed
-size, so hot passages come last). A tile is one such shingle and one band of set sizes (bands grow by
-1 / threshold, so partners lie in the same band or the next). In a tile, parity bitmaps with one bit
-per hashed shingle bound the overlap from above (popcount of the exclusive or is at most the symmetric
-difference); what passes is verified by exact intersection of the sorted arrays.
-
-Tiles are worked in steps so that groups of near copies don't become all their pairs: first
-every tile links its members to its smallest one; then, in rounds, the members outside a tile's largest component meet
-changing members of it; last, only members of a tile that are still in different components are paired. Components come from hooking and pointer jumping over stored tables.
+n - ceil(0.8 n) + 1 shingles of each in any common order. The order here puts a fixed region of the hash space first (`REGION`,
+so only that part is counted), rarest shingle first by its exact number of sets, then the others by hash; shingles whose
+counter of a fixed table stands out (those of passages that very many documents share) come last of all. A set
+with enough shingles of its own in that order has no partner and leaves. A tile is one shared shingle and one band of set
+sizes. In a tile, parity bitmaps with one bit per hashed shingle bound the overlap from above (popcount of
+the exclusive or is at most the symmetric difference); what passes is verified by exact intersection of the sorted arrays.
+
+Tiles are worked in steps so that groups of near copies don't become all their pairs: first every tile links its
+members to one of them; then, in rounds, the members outside a tile's largest component meet one of it;
+last, only members of a tile that are still in different components are paired. Components come from hooking and pointer
+jumping over stored tables, later ones over the labels of earlier ones. Region, tables and rounds change cost, never links.
 
 Defined cases: null or wordless texts have an empty set and no links, and are their own component; fewer than five words
 are one shingle; repeated rows share a component; a component without any id has a null id; an empty table
-gives no rows. Of clashing columns only `doc_id` and `text` are read.
+gives no rows; very long texts are sets like any other. Of clashing columns only `doc_id` and `text` are read. Sets and
+shingles are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,15 +28,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import Scratch, bounded_batches, byte_slices, shingle_set, signed
 
 SIZE = 5
 THRESHOLD = 80  # percent
-#: Counters of the rarity order, and slots of the filter that spares unneeded sets a shuffle.
-COUNTERS, SLOTS = 1 << 16, 1 << 18
-#: At most so many rounds of linking to large components, with so many centres a round; pairs left per tile row that end them.
-ROUNDS, CLASSES, LINEAR = 2, 32, 2
+#: The share of the hash space whose shingles are counted, and shingles counted together in a task.
+REGION, TOGETHER = 0.4, 1 << 20
+#: Counters that find very frequent shingles.
+COUNTERS = 1 << 16
+#: Steps of 1 / threshold in a band of sizes.
+BAND_STEPS = 3
+#: At most so many rounds of linking to large components; pairs left per tile row that end them.
+ROUNDS, LINEAR = 3, 2
+_LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
 def _bits(grams: np.ndarray) -> bytes:
@@ -57,73 +66,180 @@ def linked(common: int, n_left: int, n_right: int, percent: int = THRESHOLD) ->
 
 
 def sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n, sid (128-bit hash of the set, null if empty), grams (sorted 64-bit hashes), bits."""
+    """doc_id, n, sid (hash of the set, null if empty), grams (sorted 64-bit hashes; null where the task gave the same set before)."""
     bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            grams = [shingle_set(data.lower().split(), size) for data in byte_slices(batch.column(1))]
-            blobs = [g.tobytes() for g in grams]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([len(g) for g in grams], pa.int64()), pa.array([xxhash.xxh3_128_digest(b) if b else None for b in blobs], pa.binary()),
-                    pa.array(blobs, pa.binary()), pa.array([_bits(g) if len(g) else None for g in grams], pa.binary()),
-                ],
-                ["doc_id", "n", "sid", "grams", "bits"],
-            )
+            sizes, sids, blobs = [], [], []
+            for data in byte_slices(batch.column(1)):
+                grams = shingle_set(data.lower().split(), size)
+                sid = xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63) if len(grams) else None
+                sizes.append(len(grams))
+                sids.append(sid)
+                blobs.append(None if sid is None or sid in seen else grams.tobytes())
+                if sid is not None:
+                    seen.add(sid)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sids, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "sid", "grams"])
+
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n bigint, sid bigint, grams binary")
+
+
+def _flat(batch: pa.RecordBatch, sid: int, grams: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of a batch of sets, and the set each belongs to."""
+    blobs = batch.column(grams).to_pylist()
+    sizes = np.fromiter((len(x) // 8 for x in blobs), np.int64, len(blobs))
+    return np.frombuffer(b"".join(blobs), np.uint64), np.repeat(batch.column(sid).to_numpy(zero_copy_only=False), sizes)
+
+
+def _first(values: np.ndarray) -> np.ndarray:
+    """Of shingles, those in the region that is ordered first."""
+    return (values >> _HIGH) < np.uint64(REGION * (1 << 32))
+
+
+def _slot(values: np.ndarray) -> np.ndarray:
+    return (values & np.uint64(COUNTERS - 1)).astype(np.int64)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, n bigint, sid binary, grams binary, bits binary")
 
+def _frequent(one: DataFrame) -> np.ndarray:
+    """Counters that stand out: True for the slots of very frequent shingles."""
 
-def _rarity(stored: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                np.add.at(total, (np.frombuffer(blob, np.uint64) & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+            values, _ = _flat(batch, 0, 1)
+            total += np.bincount(_slot(values), minlength=COUNTERS)
         slots = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "c"])
 
-    counts = stored.select("grams").mapInArrow(run, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()
+    counts = one.select("sid", "grams").mapInArrow(run, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # at most COUNTERS rows
     out = np.zeros(COUNTERS, np.int64)
     out[counts["slot"].to_numpy()] = counts["c"].to_numpy()
-    return out
+    return out > 2 * out.mean() + 64
 
 
-def _prefixes(stored: DataFrame, rarity: np.ndarray, percent: int) -> DataFrame:
-    """gram, n, sid: a task gives each distinct set once."""
+def _token(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Part and place in it of shingles of the region."""
+    return ((values >> _HIGH) % np.uint64(parts)).astype(np.int64), (values & _LOW).astype(np.uint32)
+
+
+def _prefix(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
+
+
+def _summary(one: DataFrame, often: np.ndarray, parts: int, percent: int) -> DataFrame:
+    """sid, n, first (tokens ordered by their number of sets), extra (the prefix's shingles beyond them)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
         for batch in batches:
-            grams, sizes, sids = [np.empty(0, np.int64)], [], []
+            rows = []
             for sid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if sid is None or sid in seen:
-                    continue
-                seen.add(sid)
                 values = np.frombuffer(blob, np.uint64)
-                n = len(values)
-                length = n - -(-percent * n // 100) + 1
-                order = np.lexsort((values, rarity[(values & np.uint64(COUNTERS - 1)).astype(np.int64)]))[:length]
-                grams.append(signed(values[order]))
-                sizes += [n] * length
-                sids += [sid] * length
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(sizes, pa.int64()), pa.array(sids, pa.binary())], ["gram", "n", "sid"])
-
-    return stored.select("sid", "grams").mapInArrow(run, "gram long, n long, sid binary")
+                last = often[_slot(values)]
+                ahead = _first(values) & ~last
+                p, t = _token(values[ahead], parts)
+                n_first = len(np.unique((p << 32) | t.astype(np.int64)))
+                more = max(0, _prefix(len(values), percent) - n_first)
+                rest, last = values[~ahead], last[~ahead]
+                rows.append((sid, len(values), n_first, signed(rest[np.lexsort((rest, last))][:more]).tolist()))
+            columns = list(zip(*rows)) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["sid", "n", "first", "extra"])
+
+    return one.select("sid", "grams").mapInArrow(run, "sid long, n long, first long, extra array<long>")
+
+
+def _counted(one: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
+    """sid, key, sets: tokens of the region that more than one set has. They travel packed, by part."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            values, sids = (np.concatenate(x) for x in zip(*held))
+            p, t = _token(values, parts)
+            order = np.argsort(p, kind="stable")
+            p, t, sids = p[order], t[order], sids[order]
+            at = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.empty(0, np.int64)
+            ends = np.append(at[1:], len(p))
+            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(p[at], pa.int64()), cut(t), cut(sids)], ["p", "tokens", "sids"])
+
+        held, n = [], 0
+        for batch in batches:
+            values, sids = _flat(batch, 0, 1)
+            stay = _first(values) & ~often[_slot(values)]
+            held.append((values[stay], sids[stay]))
+            n += len(held[-1][0])
+            if n >= TOGETHER:
+                yield flush()
+                held, n = [], 0
+        if held:
+            yield flush()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> pa.RecordBatch:
+            t, s = (np.frombuffer(b"".join(x), k) for x, k in zip(zip(*held), (np.uint32, np.int64)))
+            order = np.lexsort((s, t))
+            t, s = t[order], s[order]
+            one_each = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))
+            t, s = t[one_each], s[one_each]
+            begins = np.append(True, t[1:] != t[:-1])
+            n = np.diff(np.append(np.flatnonzero(begins), len(t)))
+            n = np.repeat(n, n)
+            more = n > 1
+            return pa.RecordBatch.from_arrays([pa.array(s[more]), pa.array((part << 32) | t[more].astype(np.int64)), pa.array(n[more].astype(np.int64))], ["sid", "key", "sets"])
+
+        part, held = None, []
+        for batch in batches:
+            for p, tokens, sids in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if p != part and held:
+                    yield flush()
+                    held = []
+                part = p
+                held.append((tokens, sids))
+        if held:
+            yield flush()
+
+    rows = one.select("sid", "grams").mapInArrow(packed, "p long, tokens binary, sids binary")
+    return rows.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(counted, "sid long, key long, sets long")
+
+
+def _prefixes(one: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """sid, n, key: the shingles of each set's prefix that another set may share."""
+    often = _frequent(one)
+    total = one.agg(F.sum("n")).first()[0] or 0
+    parts = max(32, int(total * REGION) // TOGETHER)
+    about = scratch.write(_summary(one, often, parts, percent).groupBy("sid").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("extra").alias("extra")), "about")
+    own = Window.partitionBy("sid")
+    ranked = _counted(one, often, parts).withColumns({"rank": F.row_number().over(own.orderBy("sets", "key")), "shared": F.count("*").over(own)})
+    n = F.col("n")
+    length = n - F.ceil(n * percent / 100) + 1
+    # Tokens of this set alone come first in its prefix; they link it with nothing.
+    some = ranked.join(about.select("sid", "n", "first"), "sid").where(F.col("rank") <= F.least(length, F.col("first")) - (F.col("first") - F.col("shared")))
+    return some.select("sid", "n", "key").union(about.select("sid", "n", F.explode("extra")))
 
 
 def _band(n: Column, percent: int) -> Column:
-    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100.0 / percent)) + F.lit(1e-9)).cast("int")
+    return F.floor(F.log(n) / (F.log(F.lit(100.0 / percent)) * BAND_STEPS) + 1e-9).cast("int")
 
 
 def _pairs_within(n_a: Column, n_b: Column, percent: int) -> Column:
     return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
 
 
-def _bounded(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
+def _open_sets(one: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid, n, bits, grams of the sets in tiles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [_bits(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), batch.column(2)], ["sid", "n", "bits", "grams"])
+
+    return one.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).mapInArrow(run, "sid long, n long, bits binary, grams binary")
+
+
+def _bounded(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) that the bitmaps don't rule out."""
-    left, right = (meta.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
+    left, right = (open_sets.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,29 +247,12 @@ def _bounded(pairs: DataFrame, meta: DataFrame, percent: int) -> DataFrame:
             keep = [linked(min(overlap_bound(x, y, m, n), m, n), m, n, percent) for x, y, m, n in zip(c["bits_a"], c["bits_b"], c["n_a"], c["n_b"])]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a binary, b binary")
-
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
 
-def _verified(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose exact overlap reaches the threshold. `pairs` is a stored table."""
-    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(SLOTS))
-    needed = pairs.select(F.explode(F.array(slot(F.col("a")), slot(F.col("b")))).alias("slot")).distinct().toArrow()["slot"].to_numpy()
-    wanted = np.zeros(SLOTS, bool)
-    wanted[needed] = True
-
-    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for batch in batches:
-            keep = []
-            for sid, at in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                keep.append(sid not in seen and bool(wanted[at]))
-                if keep[-1]:
-                    seen.add(sid)
-            yield batch.select(["sid", "grams"]).filter(pa.array(keep, pa.bool_()))
 
-    some = stored.where("sid is not null").select("sid", "grams", slot(F.col("sid")).alias("slot")).mapInArrow(chosen, "sid binary, grams binary")
-    one = some.groupBy("sid").agg(F.first("grams").alias("grams"))
-    left, right = (one.select(F.col("sid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+def _verified(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs whose exact overlap reaches the threshold."""
+    left, right = (open_sets.select(F.col("sid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -163,7 +262,7 @@ def _verified(pairs: DataFrame, stored: DataFrame, percent: int) -> DataFrame:
                 keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a binary, b binary")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -182,65 +281,69 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return now.select("sid", "label")
 
 
+def _joined(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """Labels after further links: components of the labels, not of all links again."""
+    at = lambda x: labels.select(F.col("sid").alias(x), F.col("label").alias(f"l_{x}"))
+    named = links.join(at("a"), "a", "left").join(at("b"), "b", "left").select(F.coalesce("l_a", "a").alias("a"), F.coalesce("l_b", "b").alias("b")).where("a <> b").distinct()
+    forest = components(scratch.write(named, "forest"), scratch)
+    new = forest.join(labels, "sid", "left_anti").select("sid", F.col("sid").alias("label"))
+    return scratch.write(labels.union(new).join(forest.select(F.col("sid").alias("label"), F.col("label").alias("root")), "label", "left").select("sid", F.coalesce("root", "label").alias("label")), "labels")
+
+
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their component's label, of the tiles that hold more than one component."""
-    placed = shared.join(labels, "sid", "left").select("gram", "tile", "n", "sid", F.coalesce("label", "sid").alias("label"))
-    open_ = placed.groupBy("gram", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("gram", "tile")
-    return placed.join(open_, ["gram", "tile"], "left_semi")
+    placed = shared.join(labels, "sid", "left").select("key", "tile", "n", "sid", F.coalesce("label", "sid").alias("label"))
+    open_ = placed.groupBy("key", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "tile")
+    return placed.join(open_, ["key", "tile"], "left_semi")
+
+
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
 def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
     scratch = Scratch(docs.sparkSession, "ngram")
     stored = scratch.write(sets(docs, size), "sets")
-    rarity = _rarity(stored)
-    rows, mark = _prefixes(stored, rarity, percent), F.xxhash64("sid")
-    # Most shingles have one set only: they go by a narrow aggregate, before tiles are made.
-    common = rows.groupBy("gram").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo < hi").select("gram")
-    members = rows.join(common, "gram").withColumn("band", _band(F.col("n"), percent))
-    # A member of a band is also offered to the next one, where its larger partners are.
-    tiles = scratch.write(members.select("gram", "n", "sid", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("tile")).distinct(), "members")
-    centres = tiles.groupBy("gram", "tile").agg(F.min(F.struct("n", "sid")).alias("c"), F.max(F.struct("n", "sid")).alias("d")).where("c <> d").select("gram", "tile", "c")
-    shared = scratch.write(tiles.join(centres, ["gram", "tile"]).select("gram", "tile", "n", "sid", "c"), "tiles")
+    ids = scratch.write(stored.select("doc_id", "n", "sid"), "ids")
+    one = stored.where("grams is not null").select("sid", "n", "grams")
+    rows = _prefixes(one, percent, scratch)
+    # A member of a band is also offered to the next one where larger partners may be.
+    bands = F.array_distinct(F.array(_band(F.col("n"), percent), _band(F.col("n") * (100.0 / percent), percent)))
+    tiles = scratch.write(rows.select("key", "n", "sid", F.explode(bands).alias("tile")), "members")
+    by_hash = F.struct(F.xxhash64("sid").alias("h"), "sid", "n")
+    centres = tiles.groupBy("key", "tile").agg(F.min(by_hash).alias("c"), F.max(by_hash).alias("d")).where("c <> d").select("key", "tile", "c")
+    shared = scratch.write(tiles.join(centres, ["key", "tile"]).select("key", "tile", "n", "sid", F.col("c.sid").alias("c_sid"), F.col("c.n").alias("c_n")), "tiles")
     scratch.drop(tiles)
-    meta = stored.where("sid is not null").groupBy("sid").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("doc_id").alias("doc_id"))
-    meta = scratch.write(meta.join(shared.select("sid").distinct(), "sid", "left_semi"), "meta")
-    star = shared.where(F.col("sid") != F.col("c.sid")).where(_pairs_within(F.col("c.n"), F.col("n"), percent)).select(F.least("c.sid", "sid").alias("a"), F.greatest("c.sid", "sid").alias("b")).distinct()
-    first = scratch.write(_bounded(star, meta, percent), "star")
-    links = scratch.write(_verified(first, stored, percent), "links")
+    open_sets = scratch.write(_open_sets(one, shared.select("sid").distinct()), "open")
+    scratch.drop(stored)
+    star = shared.where("sid <> c_sid").where(_pairs_within(F.col("c_n"), F.col("n"), percent)).select(*_pair("c_sid", "sid")).distinct()
+    tested = scratch.write(_bounded(star, open_sets, percent), "star")
+    links = scratch.write(_verified(tested, open_sets, percent), "links")
     labels = components(links, scratch)
     # Tiles with members in different components: only pairs across them are still open. While these are many, the
-    # members outside a tile's largest component meet one member of it, another one in each round and class of shingles.
-    tested = first
+    # members outside a tile's largest component meet one member of it, another one in each round.
     for turn in range(ROUNDS + 1):
-        left = scratch.write(_open(shared, labels), "open")
-        parts = left.groupBy("gram", "tile", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(turn), F.pmod("gram", F.lit(CLASSES)), "sid"), "sid", "n")).alias("c"))
-        tiles_left = parts.groupBy("gram", "tile").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "label", F.col("c.sid").alias("sid"), F.col("c.n").alias("n"))).alias("c"))
+        left = scratch.write(_open(shared, labels), "left")
+        parts = left.groupBy("key", "tile", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(turn), "sid"), "sid", "n")).alias("c"))
+        tiles_left = parts.groupBy("key", "tile").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "label", F.col("c.sid").alias("sid"), F.col("c.n").alias("n"))).alias("c"))
         size_left = tiles_left.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2).alias("pairs")).first()
         if turn == ROUNDS or (size_left["pairs"] or 0) <= LINEAR * (size_left["rows"] or 0):
             break
-        meet = left.join(tiles_left.select("gram", "tile", "c"), ["gram", "tile"]).where(F.col("label") != F.col("c.label")).where(_pairs_within(F.col("c.n"), F.col("n"), percent))
-        meet = meet.select(F.least("c.sid", "sid").alias("a"), F.greatest("c.sid", "sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        checked = scratch.write(_bounded(meet, meta, percent), "meet")
-        found = scratch.write(_verified(checked, stored, percent), "links")
-        scratch.drop(left)
-        tested = tested.union(checked)
+        meet = left.join(tiles_left.select("key", "tile", "c"), ["key", "tile"]).where(F.col("label") != F.col("c.label")).where(_pairs_within(F.col("c.n"), F.col("n"), percent))
+        meet = meet.select(*_pair("c.sid", "sid")).distinct()
+        found = scratch.write(_verified(_bounded(meet, open_sets, percent), open_sets, percent), "links")
         if found.isEmpty():
-            left = scratch.write(_open(shared, labels), "open")
             break
-        links = links.union(found)
-        labels = components(links, scratch)
+        labels = _joined(labels, found, scratch)
+        scratch.drop(left)
     x, y = left.alias("x"), left.alias("y")
     across = (F.col("x.label") < F.col("y.label")) & _pairs_within(F.col("x.n"), F.col("y.n"), percent)
-    rest = x.join(y, (F.col("x.gram") == F.col("y.gram")) & (F.col("x.tile") == F.col("y.tile")) & across)
-    rest = rest.select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-    second = scratch.write(_bounded(rest, meta, percent), "rest")
-    more = scratch.write(_verified(second, stored, percent), "links")
-    final = components(links.union(more), scratch)
-    own = stored.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("own"))
-    named = final.join(own, "sid").groupBy("label").agg(F.min("own").alias("component_id"))
-    ids = own.join(final, "sid", "left").join(named, "label", "left").select("sid", F.coalesce("component_id", "own").alias("component_id"))
-    return (
-        stored.select("doc_id", "n", "sid").join(ids, "sid", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    )
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & across).select(*_pair("x.sid", "y.sid")).distinct()
+    more = scratch.write(_verified(_bounded(rest, open_sets, percent), open_sets, percent), "links")
+    final = labels if more.isEmpty() else _joined(labels, more, scratch)
+    own = ids.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("own"))
+    named = own.join(final, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "own")
+    classes = scratch.write(named.join(named.groupBy("label").agg(F.min("own").alias("component_id")), "label").select("sid", "component_id"), "classes")
+    scratch.keep(ids, classes)
+    return ids.join(classes, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
