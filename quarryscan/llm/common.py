@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD_SEP = r"[\x20\x09-\x0D]+"
 #: Rows of one Arrow batch: texts reach megabytes, so the default of 10,000 rows is too much for a worker.
 BATCH_ROWS = 1000
+#: Entries packed into one row, and partitions that packed parts are dealt to at most (a task takes its parts one by one).
+PACKED, PARTITIONS = 1024, 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -151,3 +153,36 @@ def shingle_set(words: list[bytes], size: int = 5) -> np.ndarray:
 
 def signed(values: np.ndarray) -> np.ndarray:
     return values.view(np.int64)
+
+
+def runs(*keys: np.ndarray) -> np.ndarray:
+    """True where a run of equal keys begins."""
+    if not len(keys[0]):
+        return np.empty(0, bool)
+    changed = np.zeros(len(keys[0]) - 1, bool)
+    for x in keys:
+        changed |= x[1:] != x[:-1]
+    return np.append(True, changed)
+
+
+def packed_rows(p: np.ndarray, columns: list[np.ndarray]) -> list[tuple]:
+    """Rows (part, bytes of each column), at most `PACKED` entries each: few rows to shuffle, and small Arrow batches."""
+    order = np.argsort(p, kind="stable")
+    p, columns = p[order], [c[order] for c in columns]
+    at = np.flatnonzero(runs(p))
+    ends = np.append(at[1:], len(p))
+    return [(int(p[i]), *(c[x : min(x + PACKED, j)].tobytes() for c in columns)) for i, j in zip(at.tolist(), ends.tolist()) for x in range(i, j, PACKED)]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Each part's packed columns, from rows sorted by part."""
+    part, held = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(width + 1))):
+            if row[0] != part and held:
+                yield part, [b"".join(c) for c in zip(*held)]
+                held = []
+            part = row[0]
+            held.append(row[1:])
+    if held:
+        yield part, [b"".join(c) for c in zip(*held)]

@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bounded_batches, byte_slices, shingle_set, signed
+from .common import PARTITIONS, Scratch, bounded_batches, byte_slices, grouped, packed_rows, runs, shingle_set, signed
 
 SIZE = 5
 THRESHOLD = 80  # percent
-#: The share of the hash space whose shingles are counted, and shingles counted together in a task.
-REGION, TOGETHER = 0.4, 1 << 20
+#: The share of the hash space whose shingles are counted, and shingles packed and counted together in a task.
+REGION, TOGETHER = 0.4, 1 << 19
 #: Counters that find very frequent shingles.
 COUNTERS = 1 << 16
 #: Steps of 1 / threshold in a band of sizes.
@@ -156,12 +156,8 @@ def _counted(one: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
         def flush() -> pa.RecordBatch:
             values, sids = (np.concatenate(x) for x in zip(*held))
             p, t = _token(values, parts)
-            order = np.argsort(p, kind="stable")
-            p, t, sids = p[order], t[order], sids[order]
-            at = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else np.empty(0, np.int64)
-            ends = np.append(at[1:], len(p))
-            cut = lambda x: pa.array([x[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(p[at], pa.int64()), cut(t), cut(sids)], ["p", "tokens", "sids"])
+            columns = list(zip(*packed_rows(p, [t, sids]))) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()))], ["p", "tokens", "sids"])
 
         held, n = [], 0
         for batch in batches:
@@ -176,31 +172,19 @@ def _counted(one: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
             yield flush()
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            t, s = (np.frombuffer(b"".join(x), k) for x, k in zip(zip(*held), (np.uint32, np.int64)))
+        for part, (tokens, sids) in grouped(batches, 2):
+            t, s = np.frombuffer(tokens, np.uint32), np.frombuffer(sids, np.int64)
             order = np.lexsort((s, t))
             t, s = t[order], s[order]
-            one_each = np.append(True, (t[1:] != t[:-1]) | (s[1:] != s[:-1]))
+            one_each = runs(t, s)
             t, s = t[one_each], s[one_each]
-            begins = np.append(True, t[1:] != t[:-1])
-            n = np.diff(np.append(np.flatnonzero(begins), len(t)))
+            n = np.diff(np.append(np.flatnonzero(runs(t)), len(t)))
             n = np.repeat(n, n)
             more = n > 1
-            return pa.RecordBatch.from_arrays([pa.array(s[more]), pa.array((part << 32) | t[more].astype(np.int64)), pa.array(n[more].astype(np.int64))], ["sid", "key", "sets"])
-
-        part, held = None, []
-        for batch in batches:
-            for p, tokens, sids in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if p != part and held:
-                    yield flush()
-                    held = []
-                part = p
-                held.append((tokens, sids))
-        if held:
-            yield flush()
+            yield pa.RecordBatch.from_arrays([pa.array(s[more]), pa.array((part << 32) | t[more].astype(np.int64)), pa.array(n[more].astype(np.int64))], ["sid", "key", "sets"])
 
     rows = one.select("sid", "grams").mapInArrow(packed, "p long, tokens binary, sids binary")
-    return rows.repartition(parts, "p").sortWithinPartitions("p").mapInArrow(counted, "sid long, key long, sets long")
+    return rows.repartition(min(parts, PARTITIONS), "p").sortWithinPartitions("p").mapInArrow(counted, "sid long, key long, sets long")
 
 
 def _prefixes(one: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -293,8 +277,8 @@ def _joined(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their component's label, of the tiles that hold more than one component."""
     placed = shared.join(labels, "sid", "left").select("key", "tile", "n", "sid", F.coalesce("label", "sid").alias("label"))
-    open_ = placed.groupBy("key", "tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key", "tile")
-    return placed.join(open_, ["key", "tile"], "left_semi")
+    of_tile = Window.partitionBy("key", "tile")
+    return placed.withColumns({"lo": F.min("label").over(of_tile), "hi": F.max("label").over(of_tile)}).where("lo <> hi").drop("lo", "hi")
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -310,11 +294,10 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
     rows = _prefixes(one, percent, scratch)
     # A member of a band is also offered to the next one where larger partners may be.
     bands = F.array_distinct(F.array(_band(F.col("n"), percent), _band(F.col("n") * (100.0 / percent), percent)))
-    tiles = scratch.write(rows.select("key", "n", "sid", F.explode(bands).alias("tile")), "members")
     by_hash = F.struct(F.xxhash64("sid").alias("h"), "sid", "n")
-    centres = tiles.groupBy("key", "tile").agg(F.min(by_hash).alias("c"), F.max(by_hash).alias("d")).where("c <> d").select("key", "tile", "c")
-    shared = scratch.write(tiles.join(centres, ["key", "tile"]).select("key", "tile", "n", "sid", F.col("c.sid").alias("c_sid"), F.col("c.n").alias("c_n")), "tiles")
-    scratch.drop(tiles)
+    of_tile = Window.partitionBy("key", "tile")
+    tiles = rows.select("key", "n", "sid", F.explode(bands).alias("tile")).withColumns({"c": F.min(by_hash).over(of_tile), "d": F.max(by_hash).over(of_tile)}).where("c <> d")
+    shared = scratch.write(tiles.select("key", "tile", "n", "sid", F.col("c.sid").alias("c_sid"), F.col("c.n").alias("c_n")), "tiles")
     open_sets = scratch.write(_open_sets(one, shared.select("sid").distinct()), "open")
     scratch.drop(stored)
     star = shared.where("sid <> c_sid").where(_pairs_within(F.col("c_n"), F.col("n"), percent)).select(*_pair("c_sid", "sid")).distinct()

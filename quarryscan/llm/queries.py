@@ -48,7 +48,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = passages.remove(table(spark, sf_dir, "documents"))
+    rows = passages.remove(table(spark, sf_dir, "documents"), with_text=False)
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
