@@ -1,16 +1,15 @@
 """N-gram Jaccard self-join of documents: sets of 5-word shingles that overlap by at least 80%.
 
 Equal sets are one class from the start. Two sets that reach the threshold share one of the first
-n - ceil(0.8 n) + 1 shingles of each in any common order. The order here puts a fixed region of the hash space first (`REGION`,
-so only that part is counted), rarest shingle first by its exact number of sets, then the others by hash; shingles whose
-counter of a fixed table stands out (those of passages that very many documents share) come last of all. A set
-with enough shingles of its own in that order has no partner and leaves. A tile is one shared shingle and one band of set
+n - ceil(0.8 n) + 1 shingles of each in any common order. The order is by rarity: exact numbers of sets are counted for a fixed region of the
+hash space (`REGION`), and for all shingles of the sets that find too few rare ones (`FEW`) there; shingles whose counter of
+a fixed table stands out come last. A set with enough shingles of its own has no partner and leaves. A tile is one shared shingle and one band of set
 sizes. In a tile, parity bitmaps with one bit per hashed shingle bound the overlap from above (popcount of
 the exclusive or is at most the symmetric difference); what passes is verified by exact intersection of the sorted arrays.
 
-Tiles are worked in steps so that groups of near copies don't become all their pairs: first every tile links its
-members to one of them; then, in rounds, the members outside a tile's largest component meet one of it;
-last, only members of a tile that are still in different components are paired. Components come from hooking and pointer
+Tiles with the same members are one. They are worked in steps so that groups of near copies don't become all their pairs:
+first every set meets the centre of one of its tiles; then, in rounds, the members outside a tile's largest component meet one
+member of it, each in one tile; last, only members of a tile that are still in different components are paired. Components come from hooking and pointer
 jumping over stored tables, later ones over the labels of earlier ones. Region, tables and rounds change cost, never links.
 
 Defined cases: null or wordless texts have an empty set and no links, and are their own component; fewer than five words
@@ -34,14 +33,16 @@ from .common import PARTITIONS, Scratch, bounded_batches, byte_slices, grouped,
 
 SIZE = 5
 THRESHOLD = 80  # percent
-#: The share of the hash space whose shingles are counted, and shingles packed and counted together in a task.
-REGION, TOGETHER = 0.4, 1 << 19
+#: The share of the hash space whose shingles are counted for all sets, and shingles packed and counted together in a task.
+REGION, TOGETHER = 0.3, 1 << 19
 #: Counters that find very frequent shingles.
 COUNTERS = 1 << 16
+#: Sets of a shingle that counts as rare, and slots of the filter that finds sets without enough of them.
+FEW, SLOTS = 64, 1 << 18
 #: Steps of 1 / threshold in a band of sizes.
 BAND_STEPS = 3
-#: At most so many rounds of linking to large components; pairs left per tile row that end them.
-ROUNDS, LINEAR = 3, 2
+#: At most so many rounds of linking to large components; pairs left per tile row that end them (as does a round that leaves nine tenths).
+ROUNDS, LINEAR = 6, 2
 _LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
@@ -124,33 +125,30 @@ def _token(values: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return ((values >> _HIGH) % np.uint64(parts)).astype(np.int64), (values & _LOW).astype(np.uint32)
 
 
-def _prefix(n: int, percent: int) -> int:
-    return n - -(-percent * n // 100) + 1
-
-
 def _summary(one: DataFrame, often: np.ndarray, parts: int, percent: int) -> DataFrame:
-    """sid, n, first (tokens ordered by their number of sets), extra (the prefix's shingles beyond them)."""
+    """sid, n, first, second (distinct tokens inside and outside the region), last (very frequent shingles, as far as a prefix can reach)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for sid, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 values = np.frombuffer(blob, np.uint64)
-                last = often[_slot(values)]
-                ahead = _first(values) & ~last
-                p, t = _token(values[ahead], parts)
-                n_first = len(np.unique((p << 32) | t.astype(np.int64)))
-                more = max(0, _prefix(len(values), percent) - n_first)
-                rest, last = values[~ahead], last[~ahead]
-                rows.append((sid, len(values), n_first, signed(rest[np.lexsort((rest, last))][:more]).tolist()))
-            columns = list(zip(*rows)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], ["sid", "n", "first", "extra"])
+                hot = often[_slot(values)]
+                inside = _first(values)
+                counts = []
+                for part in (inside & ~hot, ~inside & ~hot):
+                    p, t = _token(values[part], parts)
+                    counts.append(len(np.unique((p << 32) | t.astype(np.int64))))
+                rows.append((sid, len(values), *counts, signed(values[hot][: len(values) - -(-percent * len(values) // 100) + 1]).tolist()))
+            columns = list(zip(*rows)) if rows else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 4, pa.list_(pa.int64())))], ["sid", "n", "first", "second", "last"])
 
-    return one.select("sid", "grams").mapInArrow(run, "sid long, n long, first long, extra array<long>")
+    return one.select("sid", "grams").mapInArrow(run, "sid long, n long, first long, second long, last array<long>")
 
 
-def _counted(one: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
-    """sid, key, sets: tokens of the region that more than one set has. They travel packed, by part."""
+def _counted(one: DataFrame, often: np.ndarray, parts: int, inside: bool) -> DataFrame:
+    """sid, key, sets: tokens inside or outside the region that more than one of these sets has. They travel packed, by part."""
+    shift = 0 if inside else parts
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -162,7 +160,7 @@ def _counted(one: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
         held, n = [], 0
         for batch in batches:
             values, sids = _flat(batch, 0, 1)
-            stay = _first(values) & ~often[_slot(values)]
+            stay = (_first(values) == inside) & ~often[_slot(values)]
             held.append((values[stay], sids[stay]))
             n += len(held[-1][0])
             if n >= TOGETHER:
@@ -181,25 +179,49 @@ def _counted(one: DataFrame, often: np.ndarray, parts: int) -> DataFrame:
             n = np.diff(np.append(np.flatnonzero(runs(t)), len(t)))
             n = np.repeat(n, n)
             more = n > 1
-            yield pa.RecordBatch.from_arrays([pa.array(s[more]), pa.array((part << 32) | t[more].astype(np.int64)), pa.array(n[more].astype(np.int64))], ["sid", "key", "sets"])
+            yield pa.RecordBatch.from_arrays([pa.array(s[more]), pa.array(((part + shift) << 32) | t[more].astype(np.int64)), pa.array(n[more].astype(np.int64))], ["sid", "key", "sets"])
 
     rows = one.select("sid", "grams").mapInArrow(packed, "p long, tokens binary, sids binary")
     return rows.repartition(min(parts, PARTITIONS), "p").sortWithinPartitions("p").mapInArrow(counted, "sid long, key long, sets long")
 
 
 def _prefixes(one: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """sid, n, key: the shingles of each set's prefix that another set may share."""
+    """sid, n, key: the shingles of each set's prefix that another set may share; alone and alone_2: how many no other set has, in the
+    region and outside it (null if those were not counted; they are alone among the sets whose alone_2 is known).
+
+    The order: tokens of the region that at most `FEW` sets have, by their number of sets; the tokens outside it, by the number of sets that
+    get so far; the other tokens of the region; very frequent shingles. Tokens of one set alone link it with nothing, and
+    stand first in their class.
+    """
     often = _frequent(one)
     total = one.agg(F.sum("n")).first()[0] or 0
     parts = max(32, int(total * REGION) // TOGETHER)
-    about = scratch.write(_summary(one, often, parts, percent).groupBy("sid").agg(F.first("n").alias("n"), F.first("first").alias("first"), F.first("extra").alias("extra")), "about")
-    own = Window.partitionBy("sid")
-    ranked = _counted(one, often, parts).withColumns({"rank": F.row_number().over(own.orderBy("sets", "key")), "shared": F.count("*").over(own)})
-    n = F.col("n")
-    length = n - F.ceil(n * percent / 100) + 1
-    # Tokens of this set alone come first in its prefix; they link it with nothing.
-    some = ranked.join(about.select("sid", "n", "first"), "sid").where(F.col("rank") <= F.least(length, F.col("first")) - (F.col("first") - F.col("shared")))
-    return some.select("sid", "n", "key").union(about.select("sid", "n", F.explode("extra")))
+    about = _summary(one, often, parts, percent).groupBy("sid").agg(*[F.first(c).alias(c) for c in ("n", "first", "second", "last")])
+    inside = scratch.write(_counted(one, often, parts, True), "inside")
+    met = inside.groupBy("sid").agg(F.count("*").alias("met"), F.sum((F.col("sets") <= FEW).cast("long")).alias("low"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    sums = about.join(met, "sid", "left").select("sid", "n", "first", "second", "last", length.alias("length"), zero("met"), zero("low"))
+    sums = scratch.write(sums.withColumn("have", F.col("first") - F.col("met") + F.col("low")), "about")
+    # Sets that need more than the first class; others may slip in by their slot, which changes an order's counts but no result.
+    slot = lambda: F.pmod(F.xxhash64("sid"), F.lit(SLOTS))
+    further = F.broadcast(sums.where("have < length").select(slot().alias("_slot")).distinct())  # at most SLOTS rows
+    outside = scratch.write(_counted(one.withColumn("_slot", slot()).join(further, "_slot", "left_semi").drop("_slot"), often, parts, False), "outside")
+    met_2 = sums.where("have < length").select("sid").join(outside.groupBy("sid").agg(F.count("*").alias("met_2")), "sid", "left").select("sid", zero("met_2"))
+    sums = scratch.write(sums.join(met_2, "sid", "left").withColumns({"alone": F.col("first") - F.col("met"), "alone_2": F.col("second") - F.col("met_2")}), "sums")
+    brief = sums.drop("last")
+    of_set = Window.partitionBy("sid")
+    order = of_set.orderBy("sets", "key")
+    one_row = inside.withColumn("rank", F.row_number().over(order)).join(brief, "sid")
+    c = F.col
+    needs_2 = c("length") - c("have") - c("second")
+    first = one_row.where(F.when(c("rank") <= c("low"), c("rank") <= F.least("length", "have") - c("alone")).otherwise(c("rank") - c("low") <= needs_2))
+    ranked = outside.withColumn("rank", F.row_number().over(order)).join(brief.where("have < length"), "sid")
+    second = ranked.where(c("rank") <= F.least(c("length") - c("have"), c("second")) - c("alone_2"))
+    needs_3 = needs_2 - (c("met") - c("low"))
+    third = sums.where(needs_3 > 0).withColumn("key", F.explode(F.slice("last", F.lit(1), needs_3.cast("int"))))
+    columns = ["sid", "n", "alone", "alone_2", "key"]
+    return first.select(columns).union(second.select(columns)).union(third.select(columns))
 
 
 def _band(n: Column, percent: int) -> Column:
@@ -210,6 +232,17 @@ def _pairs_within(n_a: Column, n_b: Column, percent: int) -> Column:
     return (n_a * 100 >= n_b * percent) & (n_b * 100 >= n_a * percent)
 
 
+#: What a tile knows of a set.
+ABOUT = ("sid", "n", "alone", "alone_2")
+
+
+def _possible(a: str, b: str, percent: int) -> Column:
+    """Sizes and shingles that only one of the two sets has leave room for the threshold; a and b are structs of ABOUT."""
+    both = F.col(f"{a}.alone_2").isNotNull() & F.col(f"{b}.alone_2").isNotNull()
+    most = F.least(*[F.col(f"{x}.n") - F.col(f"{x}.alone") - F.when(both, F.col(f"{x}.alone_2")).otherwise(0) for x in (a, b)])
+    return (most * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent) & _pairs_within(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
+
+
 def _open_sets(one: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, n, bits, grams of the sets in tiles."""
 
@@ -276,11 +309,16 @@ def _joined(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
 
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their component's label, of the tiles that hold more than one component."""
-    placed = shared.join(labels, "sid", "left").select("key", "tile", "n", "sid", F.coalesce("label", "sid").alias("label"))
-    of_tile = Window.partitionBy("key", "tile")
+    placed = shared.select("x", "y", "s", "s.sid").join(labels, "sid", "left").select("x", "y", "s", F.coalesce("label", "sid").alias("label")).distinct()
+    of_tile = Window.partitionBy("x", "y")
     return placed.withColumns({"lo": F.min("label").over(of_tile), "hi": F.max("label").over(of_tile)}).where("lo <> hi").drop("lo", "hi")
 
 
+def own_of(s: str) -> Column:
+    """About how many shingles a set has alone."""
+    return (F.col(f"{s}.alone") + F.coalesce(f"{s}.alone_2", F.col(f"{s}.alone") * 2)).alias("own")
+
+
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -294,35 +332,46 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
     rows = _prefixes(one, percent, scratch)
     # A member of a band is also offered to the next one where larger partners may be.
     bands = F.array_distinct(F.array(_band(F.col("n"), percent), _band(F.col("n") * (100.0 / percent), percent)))
-    by_hash = F.struct(F.xxhash64("sid").alias("h"), "sid", "n")
+    # The centre has the fewest shingles of its own: of a text and its edited copies that is the text.
+    about = F.struct(*ABOUT)
+    nearest = F.struct((F.col("alone") + F.coalesce("alone_2", F.col("alone") * 2)).alias("own"), F.xxhash64("sid").alias("h"), about.alias("s"))
     of_tile = Window.partitionBy("key", "tile")
-    tiles = rows.select("key", "n", "sid", F.explode(bands).alias("tile")).withColumns({"c": F.min(by_hash).over(of_tile), "d": F.max(by_hash).over(of_tile)}).where("c <> d")
-    shared = scratch.write(tiles.select("key", "tile", "n", "sid", F.col("c.sid").alias("c_sid"), F.col("c.n").alias("c_n")), "tiles")
-    open_sets = scratch.write(_open_sets(one, shared.select("sid").distinct()), "open")
+    # Tiles with the same members count once: a tile's name is the exclusive or of its members' hashes.
+    named = {"x": F.bit_xor(F.xxhash64("sid")).over(of_tile), "y": F.bit_xor(F.xxhash64(F.lit(1), "sid")).over(of_tile), "m": F.count("*").over(of_tile), "c": F.min(nearest).over(of_tile)}
+    tiles = rows.select("key", *ABOUT, F.explode(bands).alias("tile")).withColumns(named).where("m > 1")
+    shared = scratch.write(tiles.select("x", "y", about.alias("s"), "c").distinct(), "tiles")
+    open_sets = scratch.write(_open_sets(one, shared.select("s.sid").distinct()), "open")
     scratch.drop(stored)
-    star = shared.where("sid <> c_sid").where(_pairs_within(F.col("c_n"), F.col("n"), percent)).select(*_pair("c_sid", "sid")).distinct()
+    star = shared.where("s.sid <> c.s.sid").where(_possible("s", "c.s", percent)).groupBy("s.sid").agg(F.min(F.struct("c.own", "c.h", F.col("c.s.sid").alias("with"))).alias("c")).select(*_pair("c.with", "sid")).distinct()
     tested = scratch.write(_bounded(star, open_sets, percent), "star")
     links = scratch.write(_verified(tested, open_sets, percent), "links")
     labels = components(links, scratch)
     # Tiles with members in different components: only pairs across them are still open. While these are many, the
-    # members outside a tile's largest component meet one member of it, another one in each round.
+    # members outside a tile's largest component meet one member of it, another one in each round, first the one nearest to all.
+    last = None
     for turn in range(ROUNDS + 1):
         left = scratch.write(_open(shared, labels), "left")
-        parts = left.groupBy("key", "tile", "label").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64(F.lit(turn), "sid"), "sid", "n")).alias("c"))
-        tiles_left = parts.groupBy("key", "tile").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "label", F.col("c.sid").alias("sid"), F.col("c.n").alias("n"))).alias("c"))
+        best = F.struct(own_of("s") if turn == 0 else F.lit(0).alias("own"), F.xxhash64(F.lit(turn), "s.sid").alias("h"), "s")
+        parts = left.groupBy("x", "y", "label").agg(F.count("*").alias("m"), F.min(best).alias("c"))
+        tiles_left = parts.groupBy("x", "y").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "label", "c")).alias("c"))
         size_left = tiles_left.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2).alias("pairs")).first()
-        if turn == ROUNDS or (size_left["pairs"] or 0) <= LINEAR * (size_left["rows"] or 0):
+        pairs = size_left["pairs"] or 0
+        if turn == ROUNDS or pairs <= LINEAR * (size_left["rows"] or 0) or (last is not None and pairs > 0.9 * last):
             break
-        meet = left.join(tiles_left.select("key", "tile", "c"), ["key", "tile"]).where(F.col("label") != F.col("c.label")).where(_pairs_within(F.col("c.n"), F.col("n"), percent))
-        meet = meet.select(*_pair("c.sid", "sid")).distinct()
+        last = pairs
+        meet = left.join(tiles_left.select("x", "y", "c.label", "c.c").withColumnRenamed("label", "largest"), ["x", "y"]).where("label <> largest").where(_possible("s", "c.s", percent))
+        meet = meet.groupBy("s.sid").agg(F.min(F.struct("c.own", "c.h", F.col("c.s.sid").alias("with"))).alias("c")).select(*_pair("c.with", "sid")).distinct()
         found = scratch.write(_verified(_bounded(meet, open_sets, percent), open_sets, percent), "links")
         if found.isEmpty():
             break
         labels = _joined(labels, found, scratch)
         scratch.drop(left)
-    x, y = left.alias("x"), left.alias("y")
-    across = (F.col("x.label") < F.col("y.label")) & _pairs_within(F.col("x.n"), F.col("y.n"), percent)
-    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.tile") == F.col("y.tile")) & across).select(*_pair("x.sid", "y.sid")).distinct()
+    # A pair is made in the first of its tiles only.
+    mine = left.groupBy("s.sid").agg(F.collect_set("x").alias("all"))
+    before = left.join(mine, F.col("s.sid") == mine["sid"]).select("x", "y", "s", "label", F.filter("all", lambda t: t < F.col("x")).alias("before"))
+    p, q = before.alias("p"), before.alias("q")
+    across = (F.col("p.label") < F.col("q.label")) & _possible("p.s", "q.s", percent) & ~F.arrays_overlap("p.before", "q.before")
+    rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & across).select(*_pair("p.s.sid", "q.s.sid")).distinct()
     more = scratch.write(_verified(_bounded(rest, open_sets, percent), open_sets, percent), "links")
     final = labels if more.isEmpty() else _joined(labels, more, scratch)
     own = ids.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("own"))
