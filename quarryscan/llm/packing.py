@@ -35,7 +35,7 @@ VOCABULARY = "byte_bpe_50k.json"
 #: or comma after a letter. A text's ids are those of its pieces cut there.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\n)(?=\S)|(?<=[a-z])(?=[.,])")
 #: Pieces whose ids a worker remembers, and the longest of them in characters; others are encoded anew.
-MEMO, MEMO_CHARS = 500_000, 40
+MEMO, MEMO_CHARS = 1_000_000, 40
 _LOADED: dict = {}
 
 
@@ -80,10 +80,10 @@ class Coder:
         if not self.cuts:
             return [np.array(e.ids, "<u4") for e in self.encode_batch(texts, add_special_tokens=False)]
         cut = [_CUT.split(t) if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self.known})
+        new = list(set(chain.from_iterable(cut)) - self.known.keys())
         if len(self.known) + len(new) > MEMO:
             self.known.clear()
-            new = list({p for parts in cut for p in parts})
+            new = list(set(chain.from_iterable(cut)))
         self.learn(new)
         out = [np.frombuffer(b"".join(map(self.known.__getitem__, parts)), "<u4") for parts in cut]
         for p in new:
@@ -103,9 +103,9 @@ def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer:
         for batch in batches:
             rows: list[tuple] = []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(ids), 64):
-                coded = coder.ids([t or "" for t in texts.slice(at, 64).to_pylist()])
-                for doc_id, code in zip(ids[at : at + 64], coded):
+            for at in range(0, len(ids), 256):
+                coded = coder.ids([t or "" for t in texts.slice(at, 256).to_pylist()])
+                for doc_id, code in zip(ids[at : at + 256], coded):
                     tokens = np.append(code, np.uint32(end_id)).astype("<u4")
                     first = len(tokens) % limit or limit
                     begin, end, k = 0, first, 0
