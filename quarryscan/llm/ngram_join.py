@@ -103,6 +103,10 @@ def _slot(values: np.ndarray) -> np.ndarray:
     return (values & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
+def _sid_slot() -> Column:
+    return F.pmod(F.xxhash64("sid"), F.lit(SLOTS))
+
+
 def _frequent(one: DataFrame) -> np.ndarray:
     """Counters that stand out: True for the slots of very frequent shingles."""
 
@@ -204,9 +208,8 @@ def _prefixes(one: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     sums = about.join(met, "sid", "left").select("sid", "n", "first", "second", "last", length.alias("length"), zero("met"), zero("low"))
     sums = scratch.write(sums.withColumn("have", F.col("first") - F.col("met") + F.col("low")), "about")
     # Sets that need more than the first class; others may slip in by their slot, which changes an order's counts but no result.
-    slot = lambda: F.pmod(F.xxhash64("sid"), F.lit(SLOTS))
-    further = F.broadcast(sums.where("have < length").select(slot().alias("_slot")).distinct())  # at most SLOTS rows
-    outside = scratch.write(_counted(one.withColumn("_slot", slot()).join(further, "_slot", "left_semi").drop("_slot"), often, parts, False), "outside")
+    further = F.broadcast(sums.where("have < length").select(_sid_slot().alias("_slot")).distinct())  # at most SLOTS rows
+    outside = scratch.write(_counted(one.withColumn("_slot", _sid_slot()).join(further, "_slot", "left_semi").drop("_slot"), often, parts, False), "outside")
     met_2 = sums.where("have < length").select("sid").join(outside.groupBy("sid").agg(F.count("*").alias("met_2")), "sid", "left").select("sid", zero("met_2"))
     sums = scratch.write(sums.join(met_2, "sid", "left").withColumns({"alone": F.col("first") - F.col("met"), "alone_2": F.col("second") - F.col("met_2")}), "sums")
     brief = sums.drop("last")
@@ -251,7 +254,10 @@ def _open_sets(one: DataFrame, wanted: DataFrame) -> DataFrame:
             bits = [_bits(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), batch.column(2)], ["sid", "n", "bits", "grams"])
 
-    return one.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).mapInArrow(run, "sid long, n long, bits binary, grams binary")
+    # Most sets are in no tile: a filter of fixed size spares them the shuffle of the join.
+    slots = F.broadcast(wanted.select(_sid_slot().alias("_slot")).distinct())  # at most SLOTS rows
+    some = one.withColumn("_slot", _sid_slot()).join(slots, "_slot", "left_semi")
+    return some.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).mapInArrow(run, "sid long, n long, bits binary, grams binary")
 
 
 def _bounded(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
@@ -340,6 +346,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
     named = {"x": F.bit_xor(F.xxhash64("sid")).over(of_tile), "y": F.bit_xor(F.xxhash64(F.lit(1), "sid")).over(of_tile), "m": F.count("*").over(of_tile), "c": F.min(nearest).over(of_tile)}
     tiles = rows.select("key", *ABOUT, F.explode(bands).alias("tile")).withColumns(named).where("m > 1")
     shared = scratch.write(tiles.select("x", "y", about.alias("s"), "c").distinct(), "tiles")
+    scratch.keep(stored, ids, shared)
     open_sets = scratch.write(_open_sets(one, shared.select("s.sid").distinct()), "open")
     scratch.drop(stored)
     star = shared.where("s.sid <> c.s.sid").where(_possible("s", "c.s", percent)).groupBy("s.sid").agg(F.min(F.struct("c.own", "c.h", F.col("c.s.sid").alias("with"))).alias("c")).select(*_pair("c.with", "sid")).distinct()
