@@ -7,7 +7,8 @@ documents and one part round over documents in seeded hash order.
 
 The number of sources and patterns must be small enough for the driver (one row each); documents are never
 collected. Defined cases: null text has size 0 and gives 0; a null source is a source of its own; repeated
-rows are taken alike; an empty table gives an empty mix; further columns are carried along.
+rows are taken alike, other rows of one id or without an id each by their own hash; an empty table gives an empty mix; further columns
+are carried along, but size, source_size, target and taken are the mix's; very long texts count whole.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEP
+from .common import WORD_SEP, Scratch
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -93,15 +94,17 @@ def route(patterns: list[tuple[frozenset, int]], quota: dict, most: int = MOST)
 
 
 def mix(rows: DataFrame, members: Column, size: Column, key: Column, weights=WEIGHTS, share: float = SHARE, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """The input's columns with size, source_size, target (of the first source), and taken.
+    """The input's columns with size, source_size, target (of the first source), and taken; these four replace columns of their names.
 
-    `members` is an array of source names (null for none), `key` identifies a document for the seeded order.
+    `members` is an array of source names (null for none), `key` identifies a document for the seeded order; rows of one key are
+    told apart by `_tie`, a hash of all their columns. Sizes are measured once, into a narrow table that the cuts are found on.
     """
     spark = rows.sparkSession
-    keep = [c for c in rows.columns if c not in ("_size", "_members", "_hash", "_key", "_p")]
-    plain = rows.select(*keep, size.alias("_size"), F.array_sort(F.array_distinct(members)).alias("_members"), F.xxhash64(F.lit(seed), key).alias("_hash"))
-    plain = plain.withColumn("_key", F.to_json(F.struct("_members")))
-    sums = plain.groupBy("_key").agg(F.first("_members").alias("_members"), F.sum("_size").alias("n")).orderBy("_key").collect()
+    tie = F.xxhash64(*[F.col(f"`{c}`") if t != "map" else F.lit(0) for c, t in ((f.name, f.dataType.typeName()) for f in rows.schema.fields)])
+    narrow = rows.select(size.alias("_size"), F.array_sort(F.array_distinct(members)).alias("_members"), F.xxhash64(F.lit(seed), key, tie).alias("_hash"), F.struct("*").alias("_row"))
+    narrow = narrow.withColumn("_key", F.to_json(F.struct("_members")))
+    plain = Scratch(spark, "mixing").write(narrow.drop("_row"), "sizes")
+    sums = plain.groupBy("_key").agg(F.first("_members").alias("_members"), F.sum("_size").alias("n")).orderBy("_key").collect()  # a row per pattern
     patterns = [(frozenset(r["_members"]), r["n"]) for r in sums]
     sizes: dict = {}
     for group, n in patterns:
@@ -114,21 +117,18 @@ def mix(rows: DataFrame, members: Column, size: Column, key: Column, weights=WEI
     rounds = {i: given.get(i, 0) // n if n else 0 for i, (_, n) in enumerate(patterns)}
     rest = {i: given.get(i, 0) - rounds[i] * n for i, (_, n) in enumerate(patterns)}
     where = spark.createDataFrame([(r["_key"], i) for i, r in enumerate(sums)], "_key string, _p int")
-    known = plain.join(F.broadcast(where), "_key")
-    cuts = _cuts(known.select("_p", "_size", "_hash"), rest)
+    cuts = _cuts(plain.join(F.broadcast(where), "_key").select("_p", "_size", "_hash"), rest)
     table = spark.createDataFrame(
         [
-            (i, int(rounds[i]), cuts.get(i, -1), int(sizes.get(_first(r["_members"]), 0)), float(quota.get(_first(r["_members"]), 0.0)))
+            (r["_key"], int(rounds[i]), cuts.get(i, -1), int(sizes.get(_first(r["_members"]), 0)), float(quota.get(_first(r["_members"]), 0.0)))
             for i, r in enumerate(sums)
         ],
-        "_p int, _rounds long, _cut long, source_size long, target double",
+        "_key string, _rounds long, _cut long, source_size long, target double",
     )  # one row for each pattern
     again = (_order(_BITS * _LEVELS) <= F.col("_cut")).cast("long")
-    return (
-        known.join(F.broadcast(table), "_p")
-        .withColumns({"size": F.col("_size"), "taken": (F.col("_rounds") + again) * F.col("_size")})
-        .select(*[c for c in keep if c not in ("size", "taken", "source_size", "target")], "size", "source_size", "target", "taken")
-    )
+    mixed = narrow.join(F.broadcast(table), "_key").withColumns({"size": F.col("_size"), "taken": (F.col("_rounds") + again) * F.col("_size")})
+    mine = ("size", "source_size", "target", "taken")
+    return mixed.select(*[F.col("_row")[c].alias(c) for c in rows.columns if c not in mine], *mine)
 
 
 def _first(members) -> object:
