@@ -1,12 +1,11 @@
 """Quality classifier: a regularised quadratic discriminant over transformed statistics of a document.
 
-Each class has a mean and a covariance shrunk towards its scaled identity and the pooled covariance; a score is the logistic
-of the difference of the log densities, each a Mahalanobis distance through the class's Cholesky factor,
-factored once. Training needs only per-class counts, sums and products, added up by the cluster; all
-labelled rows outside the held-out fold count.
+Each class has a mean and a covariance shrunk towards its scaled identity and the pooled covariance; the log densities are Mahalanobis
+distances through the class's Cholesky factor, factored and inverted once. A score is the logistic of their difference, compressed by a
+logarithm and calibrated on the training fold, so that scores keep their order at both ends. Training needs only per-class
+counts, sums, products and counted gaps, added up by the cluster; all labelled rows outside the held-out fold count.
 
-Defined cases: null and empty texts have statistics of 0 and get a score like any other; labels that are null, or documents
-without an id, do not train; repeated rows are scored alike; without both classes the score is the prior.
+Defined cases: null and empty texts have statistics of 0 and get a score like any other; labels that are null, or documents without an id, do not train; of different labels of one id the smaller counts; repeated rows are scored alike; without both classes the score is the prior.
 """
 
 from __future__ import annotations
@@ -28,6 +27,8 @@ FEATURES = (
     "distinct", "repeats", "dup_lines", "line_words", "compression", "other_scripts", "log_sentence",
 )
 SHRINK_IDENTITY, SHRINK_POOLED = 0.05, 0.1
+#: Bins of a unit of the compressed gap.
+BINS = 20
 _SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
@@ -62,18 +63,44 @@ def statistics(text: str) -> list[float]:
 class Model:
     prior: float
     means: np.ndarray | None = None
-    factors: np.ndarray | None = None
+    inverses: np.ndarray | None = None
     log_dets: np.ndarray | None = None
+    slope: float = 1.0
+    offset: float = 0.0
+
+    def gap(self, x: np.ndarray) -> np.ndarray:
+        """Difference of the log densities, compressed: sign times log(1 + size)."""
+        logs = []
+        for mean, inverse, log_det in zip(self.means, self.inverses, self.log_dets):
+            z = inverse @ (x - mean).T
+            logs.append(-0.5 * (z * z).sum(0) - log_det)
+        gap = logs[1] - logs[0]
+        return np.sign(gap) * np.log1p(np.abs(gap))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.means is None:
             return np.full(len(x), self.prior)
-        logs = []
-        for mean, factor, log_det in zip(self.means, self.factors, self.log_dets):
-            z = np.linalg.solve(factor, (x - mean).T)
-            logs.append(-0.5 * (z * z).sum(0) - log_det)
-        gap = logs[1] - logs[0] + np.log(self.prior / (1 - self.prior))
-        return 1 / (1 + np.exp(-np.clip(gap, -30, 30)))
+        t = self.slope * self.gap(x) + self.offset
+        # A form that loses no order at either end.
+        return np.where(t >= 0, 1 / (1 + np.exp(-np.abs(t))), np.exp(-np.abs(t)) / (1 + np.exp(-np.abs(t))))
+
+
+def calibrated(gaps: np.ndarray, ones: np.ndarray, n: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of the logistic of gaps, by Newton's method on counted bins; targets are drawn in by one row of each label."""
+    total, positive = n.sum(), ones.sum()
+    high, low = (positive + 1) / (positive + 2), 1 / (total - positive + 2)
+    y = (ones * high + (n - ones) * low) / n
+    a, b = 1.0, 0.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(a * gaps + b, -500, 500)))
+        w, r = n * p * (1 - p), n * (p - y)
+        hessian = np.array([[(w * gaps * gaps).sum() + 1e-3, (w * gaps).sum()], [(w * gaps).sum(), w.sum() + 1e-3]])
+        step = np.linalg.solve(hessian, [(r * gaps).sum() + 1e-3 * a, r.sum()])
+        step /= max(1.0, np.abs(step).max())
+        a, b = a - step[0], b - step[1]
+        if np.abs(step).max() < 1e-6:
+            break
+    return float(max(a, 1e-3)), float(b)
 
 
 def featurise(docs: DataFrame) -> DataFrame:
@@ -118,14 +145,24 @@ def fit(labelled: DataFrame) -> Model:
     scale = np.diag(np.diag(pooled) + 1e-6)
     shrunk = (1 - SHRINK_IDENTITY - SHRINK_POOLED) * raw + SHRINK_POOLED * pooled + SHRINK_IDENTITY * scale
     factors = np.linalg.cholesky(shrunk)
-    return Model(prior, means, factors, np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(1))
+    model = Model(prior, means, np.linalg.inv(factors), np.log(np.diagonal(factors, axis1=1, axis2=2)).sum(1))
+
+    def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column(0).to_pylist(), np.float64).reshape(-1, d)
+            yield pa.RecordBatch.from_arrays([pa.array(np.round(model.gap(x) * BINS).astype(np.int64)), batch.column(1)], ["bin", "label"])
+
+    rows = labelled.select("x", F.col("label").cast("int").alias("label")).where("label in (0, 1)").mapInArrow(binned, "bin long, label int")
+    bins = rows.groupBy("bin").agg(F.sum("label").alias("ones"), F.count("*").alias("n")).collect()  # a few hundred rows: gaps are logarithms
+    model.slope, model.offset = calibrated(*(np.array([r[c] for r in bins], np.float64) / (BINS if c == "bin" else 1) for c in ("bin", "ones", "n")))
+    return model
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted; the texts are read once."""
     spark = docs.sparkSession
     features = Scratch(spark, "quality").write(featurise(docs), "features")
-    marked = labels.select("doc_id", F.col("quality").alias("label")).where("label in (0, 1)").dropDuplicates(["doc_id"])
+    marked = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("label"))
     model = fit(features.where(~held_out(F.col("doc_id"))).join(marked, "doc_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
