@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, shingle_set
 
 K = 128
-#: Ranges of ids whose neighbours are found apart.
-RANGES = 64
+#: Ranges of ids whose neighbours are found apart: at least, rows of one, and at most.
+RANGES, RANGE_ROWS, MOST_RANGES = 64, 50_000, 2048
 
 
 def sketch(text: str | bytes | None, k: int = K) -> np.ndarray:
@@ -67,11 +67,13 @@ def _edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def with_next(docs: DataFrame, ranges: int = RANGES) -> DataFrame:
+def with_next(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """doc_id, text, and per range of ids (`range_`, falling ids) its documents in one run of rows, followed by a
     row with `real` false: the document after the range, around the end."""
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    cuts = sorted({int(c) for c in rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.002)}) if ranges > 1 else []
+    if ranges is None:
+        ranges = min(MOST_RANGES, max(RANGES, docs.count() // RANGE_ROWS))
+    cuts = sorted({int(c) for c in rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], min(0.002, 0.1 / ranges))}) if ranges > 1 else []
     # Range 0 has the largest ids; rows without an id come last.
     last = len(cuts) + 1
     bucket = F.lit(last)

@@ -138,13 +138,14 @@ def judged(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def keep(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The documents that a policy keeps, with the input's columns.
+    """The documents that a policy keeps, with the input's columns, whatever their names.
 
     The random column, always at least 0, holds the filter above the ledger: pushed below, it would repeat the
     measurements once for every rule.
     """
-    rows = judged(ledger(docs), version).select(*docs.columns, F.col("kept").alias("_kept"), F.rand(0).alias("_once"))
-    return rows.where(F.col("_kept") & (F.col("_once") >= 0)).select(*docs.columns)
+    packed = docs.select(F.struct("*").alias("_row"), F.col("text"))
+    rows = judged(ledger(packed), version).select("_row", F.col("kept").alias("_kept"), F.rand(0).alias("_once"))
+    return rows.where(F.col("_kept") & (F.col("_once") >= 0)).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def ablation(rows: DataFrame, version: str = CURRENT) -> DataFrame:

@@ -64,6 +64,29 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_substring_dedup": op10_substring_dedup,
 }
+_WORDS = "list_filter(string_split_regex({0}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Components by carrying the smallest id along links until nothing changes.
+_OP6_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(f"translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')")} AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+t AS (SELECT doc_id, len(g) AS n, md5(array_to_string(list_sort(g), chr(10))) AS k, g FROM s),
+c AS (SELECT k, min(doc_id) AS d, any_value(n) AS n, any_value(g) AS g FROM t WHERE n > 0 GROUP BY k),
+x AS MATERIALIZED (SELECT d, n, unnest(g) AS h FROM c),
+p AS (SELECT a.d AS a, b.d AS b, a.n AS n, b.n AS m, count(*) AS shared FROM x a JOIN x b ON a.h = b.h AND a.d < b.d GROUP BY 1, 2, 3, 4),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * shared >= 80 * (n + m - shared) UNION SELECT b, a FROM p WHERE 100 * shared >= 80 * (n + m - shared)),
+r(a, b) AS (SELECT d, d FROM c UNION SELECT l.b, r.b FROM r JOIN l ON l.a = r.a),
+e AS (SELECT a AS d, min(b) AS component FROM r GROUP BY 1)
+SELECT t.doc_id, t.n::BIGINT AS n_shingles, coalesce(e.component, t.doc_id) AS component_id FROM t LEFT JOIN c ON c.k = t.k AND t.n > 0 LEFT JOIN e ON e.d = c.d"""
+_OP10_SQL = f"""WITH w AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+v AS MATERIALIZED (SELECT doc_id, p, md5(array_to_string(ws[p:p + 49], ' ')) AS h FROM (SELECT *, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50)),
+f AS (SELECT h, min(doc_id) AS lo FROM v GROUP BY 1),
+g AS (SELECT DISTINCT v.doc_id, v.p FROM v JOIN f USING (h) WHERE v.doc_id > f.lo),
+o AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+c AS (SELECT o.doc_id, word, i, bool_or(g.p IS NOT NULL) OVER (PARTITION BY o.doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM o LEFT JOIN g ON g.doc_id = o.doc_id AND g.p = o.i),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)"""
 ORACLE_SQL = {
     "op4_quality_rules": quality_rules.oracle_sql(),
+    "op6_ngram_join": _OP6_SQL,
+    "op10_substring_dedup": _OP10_SQL,
 }

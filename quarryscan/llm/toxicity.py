@@ -9,7 +9,8 @@ size of the table doesn't change the balance of the labels. The evidence is the
 examples share, and the ids and cosines of the nearest examples.
 
 Defined cases: null and empty texts hold no term and score as the examples without a vocabulary term do; equal texts score
-equally; without labels of both kinds all scores are the prior (0.5 without any); null ids are held out.
+equally; without labels of both kinds all scores are the prior (0.5 without any); null ids are held out; of different
+labels of one id the larger counts, of different texts the first in order; very long texts count whole.
 """
 
 from __future__ import annotations
@@ -129,7 +130,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class:
     spark = docs.sparkSession
     bounded_batches(spark)
     scratch = Scratch(spark, "toxicity")
-    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
+    marked = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).where("y in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     order = F.xxhash64(F.lit(7), "doc_id")
     picks = None
     for y in (0, 1):
@@ -145,7 +146,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, per_class:
             rows = [list(terms(t).items()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.map_(pa.string(), pa.int32()))], ["doc_id", "y", "terms"])
 
-    chosen = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").select("doc_id", "y", "text").mapInArrow(counted, "doc_id bigint, y int, terms map<string,int>")
+    # One text of each id, so that repeated ids don't make the sample larger.
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(ids, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    chosen = texts.select("doc_id", "y", "text").mapInArrow(counted, "doc_id bigint, y int, terms map<string,int>")
     rows = chosen.orderBy("y", F.to_json("terms"), "doc_id").collect()
     sample = [(Counter(r["terms"]), r["y"]) for r in rows]
     vocabulary = choose(sample)
