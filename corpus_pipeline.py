@@ -23,11 +23,12 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row with the smallest id stays, then the smallest hash of the text; rows without an id come last."""
-    keyed = docs.withColumn("_key", F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))]))
-    found = ngram_join.join(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), "component_id")
+    key = F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
+    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.col("doc_id"), F.col("text"))
+    found = ngram_join.join(keyed.select(F.col("_key").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component_id"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "_key")
-    stays = keyed.select("_key", order.alias("_order")).join(found, "_key").groupBy("component_id").agg(F.min("_order").alias("_first")).select(F.col("_first._key").alias("_key"))
-    return keyed.join(stays, "_key").dropDuplicates(["_key"]).select(*docs.columns)
+    stays = keyed.select("_key", order.alias("_order")).distinct().join(found, "_key").groupBy("component_id").agg(F.min("_order").alias("_first")).select(F.col("_first._key").alias("_key"))
+    return keyed.join(stays, "_key").dropDuplicates(["_key"]).select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,9 +38,11 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    mixed = mixing.documents_mix(docs)
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id"), F.col("source"), F.col("text"))
+    mixed = mixing.documents_mix(packed)
     times = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(0)
-    return mixed.where(times > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), times)).alias("_time")).drop("_time")
+    again = mixed.where(times > 0).select("_row", F.explode(F.sequence(F.lit(1), times)).alias("_time"))
+    return again.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     for name, stage in STAGES[:-1]:
         docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
