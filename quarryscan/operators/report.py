@@ -44,6 +44,15 @@ def band_label(band: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), band), band)
 
 
+def method_label(kind: Column) -> Column:
+    """How the files of a kind of artifact were recovered."""
+    labels = {
+        "SourceTree": "Read as source", "Archive": "Read from an archive", "PythonBundle": "Read from a bundle", "ElectronApp": "Read from an application archive", "AsarArchive": "Read from an application archive",
+        "DotNetAssembly": "Decompiled", "DotNetSingleFile": "Unpacked from a single-file program", "WindowsInstaller": "Unpacked from an installer", "JavaArchive": "Read from an archive",
+    }
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]), kind), F.lit("Not recovered"))
+
+
 def shared(findings: DataFrame) -> DataFrame:
     """The copy without code: no evidence and line, and paths as `file N (.ext)` by their first appearance (findings before capabilities).
 

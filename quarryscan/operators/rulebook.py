@@ -36,6 +36,8 @@ class Rule:
     #: The group of the pattern that holds the secret; 0 for the whole match, None for none.
     secret_group: int | None = None
     most: int = 20
+    #: A pattern that the path must match, if any.
+    path_filter: str | None = None
 
 
 def _mal(number: int, title: str, pattern: str, capability: str | None, ignore: tuple[str, ...] = ()) -> Rule:

@@ -76,7 +76,8 @@ def family(rule_id: Column) -> Column:
 
 
 def applies(rule: Rule) -> Column:
-    return F.col("language").isin(*rule.languages) if rule.languages else F.lit(True)
+    fits = F.col("language").isin(*rule.languages) if rule.languages else F.lit(True)
+    return fits & F.col("path").rlike(rule.path_filter) if rule.path_filter else fits
 
 
 def _lengths(x: Column, alias: str) -> Column:

@@ -1,4 +1,4 @@
-"""Entries of zip and asar archives as rows, with limits against hostile ones.
+"""Entries of zip and asar archives and of .NET single-file programs as rows, with limits against hostile ones.
 
 Spark deals the archives to tasks; a task opens one at a time and gives its entries one by one.
 """
@@ -7,12 +7,16 @@ from __future__ import annotations
 
 import io
 import json
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .artifacts import BUNDLE_MARK
+
 # Entries, bytes of one and of all entries, and the ratio of plain to packed bytes.
 MOST_ENTRIES, MOST_BYTES, MOST_TOTAL, MOST_RATIO = 20_000, 32 << 20, 512 << 20, 200
 #: Levels of an asar's folders, and programs opened inside an archive.
@@ -86,6 +90,59 @@ def asar_entries(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
     yield from walk(tree, "", 0)
 
 
+BUNDLE_SIGNATURE = bytes.fromhex(BUNDLE_MARK)
+
+
+def bundle_entries(data: bytes) -> Iterator[tuple[str, bytes | None, str | None]]:
+    """Files of a .NET single-file program: the header's place stands before the signature, entries follow the header.
+
+    Layout by version: entries have offset and size, from 6 on a packed size, then a type and a path; from 2 on the header holds the places
+    of two settings files and flags.
+    """
+    at = data.find(BUNDLE_SIGNATURE)
+    try:
+        (here,) = struct.unpack_from("<q", data, at - 8)
+        major, _, count = struct.unpack_from("<IIi", data, here)
+    except struct.error:
+        yield "", None, "the program could not be read"
+        return
+    here += 12
+
+    def text() -> str:
+        nonlocal here
+        n, shift = 0, 0
+        while True:
+            byte = data[here]
+            here += 1
+            n |= (byte & 0x7F) << shift
+            shift += 7
+            if byte < 0x80 or shift > 28:
+                break
+        here += n
+        return data[here - n : here].decode("utf-8", "replace")
+
+    try:
+        text()
+        here += 40 if major >= 2 else 0
+        for _ in range(min(max(count, 0), MOST_ENTRIES)):
+            offset, size, *packed = struct.unpack_from("<qqq" if major >= 6 else "<qq", data, here)
+            here += 24 if major >= 6 else 16
+            here += 1
+            path = text()
+            stored = packed[0] if packed and packed[0] else 0
+            length = stored or size
+            if unsafe(path) or size < 0 or size > MOST_BYTES or offset < 0 or offset + length > len(data):
+                yield path, None, "an entry that is too large or outside the program"
+            elif stored:
+                inflate = zlib.decompressobj(-15)
+                body = inflate.decompress(data[offset : offset + stored], MOST_BYTES)
+                yield (path, body, None) if len(body) == size else (path, None, "an entry could not be read")
+            else:
+                yield path, data[offset : offset + size], None
+    except (struct.error, IndexError, zlib.error):
+        yield "", None, "the program could not be read to its end"
+
+
 def interesting(path: str) -> bool:
     """Of packages inside node_modules only their package.json."""
     return "node_modules/" not in path or path.endswith("/package.json")
@@ -96,13 +153,14 @@ def _is_asar(data: bytes) -> bool:
 
 
 def entries(archives: DataFrame) -> DataFrame:
-    """artifact_id, file_ord, path, bytes, data, note of the entries of zip and asar archives (artifact_id, data).
+    """artifact_id, file_ord, path, bytes, data, note of the entries of zip and asar archives and single-file programs (artifact_id, data).
 
     An app.asar inside a zip is opened too, at most twenty of them.
     """
 
     def opened(data: bytes, nested: list[int]) -> Iterator[tuple[str, bytes | None, str | None]]:
-        for name, body, note in asar_entries(data) if _is_asar(data) else zip_entries(data):
+        reader = asar_entries if _is_asar(data) else bundle_entries if data[:2] == b"MZ" and BUNDLE_SIGNATURE in data else zip_entries
+        for name, body, note in reader(data):
             if body is not None and _is_asar(body) and nested[0] < MOST_NESTED:
                 nested[0] += 1
                 yield from ((f"{name}/{n}", b, w) for n, b, w in asar_entries(body) if interesting(n))

@@ -16,8 +16,8 @@ KIND_LABELS = (
 )
 # Entry names of an archive and binaries of a folder that are looked at, and the depth at which an app.asar counts.
 MOST_NAMES, MOST_BINARIES, ASAR_DEPTH = 2_000, 60, 3
-#: Marker of a .NET single-file program (the bundle's signature) and of a common installer, as hexadecimal.
-BUNDLE_MARK = "8B1202B96A6120387B930214D7A0321"
+# The signatures of a .NET single-file program and of a common installer, as hexadecimal.
+BUNDLE_MARK = "8B1202B96A612038727B930214D7A03213F5B9E6EFAE3318EE3B2DCE24B36AAE"
 INSTALLER_MARK = "EFBEADDE4E756C6C736F6674496E7374"
 
 

@@ -159,6 +159,21 @@ def test_archives(spark):
     assert got["z", "r/app.asar/big"][1] and got["bad", ""][1] == "the archive could not be read"
 
 
+def test_single_file_programs():
+    import zlib as z
+
+    packed = z.compressobj(9, z.DEFLATED, -15)
+    body = packed.compress(b"x" * 100) + packed.flush()
+    head = b"MZ" + b"\0" * 62
+    blobs = b"plain" + body
+    entries = struct.pack("<qqqB", len(head), 5, 0, 1) + b"\x05a.cfg" + struct.pack("<qqqB", len(head) + 5, 100, len(body), 1) + b"\x05b.cfg" + struct.pack("<qqqB", 0, 9, 0, 1) + b"\x05../ev"
+    header = struct.pack("<IIi", 6, 0, 3) + b"\x02id" + b"\0" * 40 + entries
+    data = head + blobs + header + struct.pack("<q", len(head) + len(blobs)) + archives.BUNDLE_SIGNATURE
+    got = list(archives.bundle_entries(data))
+    assert got[:2] == [("a.cfg", b"plain", None), ("b.cfg", b"x" * 100, None)] and got[2][1] is None
+    assert list(archives.bundle_entries(b"MZ" + archives.BUNDLE_SIGNATURE))[0][2]
+
+
 def test_kinds(spark):
     pe = bytearray(512)
     pe[:2], pe[0x3C:0x40] = b"MZ", struct.pack("<I", 128)
