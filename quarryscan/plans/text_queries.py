@@ -242,8 +242,10 @@ def _evidence(line: str, v: str) -> str:
 def _secrets_sql(source: str) -> str:
     p = sql_pattern(BY_ID["VC-SEC-010"].pattern)
     return f"""WITH l AS (SELECT artifact_id, file_ord, unnest(ls) AS t, unnest(range(1, len(ls) + 1))::INT AS line FROM (SELECT *, string_split(content, chr(10)) AS ls FROM {source})),
-  s AS (SELECT *, regexp_extract(t, '{p}', 0) AS m, regexp_extract(t, '{p}', 1) AS v FROM l WHERE regexp_matches(t, '{p}'))
-  SELECT artifact_id, file_ord, 'VC-SEC-010' AS rule_id, line, instr(t, m)::INT AS col, {_evidence('t', 'v')} AS evidence FROM s WHERE {_secret('v')} AND NOT regexp_matches(t, '^\\s*(?://|#|\\*|<!--)')"""
+  s AS (SELECT *, regexp_extract_all(t, '{p}', 0) AS ms, regexp_extract_all(t, '{p}', 1) AS vs, string_split_regex(t, '{p}') AS bs FROM l WHERE regexp_matches(t, '{p}')),
+  x AS (SELECT *, vs[i] AS v, (list_sum(list_transform(bs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::INT AS c0 FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM s)),
+  y AS (SELECT * FROM x WHERE {_secret('v')} AND NOT regexp_matches(t, '^\\s*(?://|#|\\*|<!--)') QUALIFY row_number() OVER (PARTITION BY artifact_id, file_ord, line, c0 // 200 ORDER BY i) = 1)
+  SELECT artifact_id, file_ord, 'VC-SEC-010' AS rule_id, line, c0 + 1 AS col, {_evidence('t', 'v')} AS evidence FROM y QUALIFY row_number() OVER (PARTITION BY artifact_id, file_ord ORDER BY line, i) <= 20"""
 
 
 _OUTCOMES = f"""WITH {_WITH_LINES}, fired AS ({' UNION ALL '.join('SELECT * FROM (' + _word_rows(r) + ')' for r in WORDS)}),
