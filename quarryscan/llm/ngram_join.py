@@ -4,7 +4,7 @@ Equal sets are one class from the start. Two sets that reach the threshold share
 n - ceil(0.8 n) + 1 shingles of each in any common order. The order is by rarity: exact numbers of sets are counted for a fixed region of the
 hash space (`REGION`), and for all shingles of the sets that find too few rare ones (`FEW`) there; shingles whose counter of
 a fixed table stands out come last. A set with enough shingles of its own has no partner and leaves. A tile is one shared shingle and one band of set
-sizes. In a tile, parity bitmaps with one bit per hashed shingle bound the overlap from above (popcount of
+sizes. In a tile, parity bitmaps of hashed shingles (short ones inside the join, then full ones) bound the overlap from above (popcount of
 the exclusive or is at most the symmetric difference); what passes is verified by exact intersection of the sorted arrays.
 
 Tiles with the same members are one. They are worked in steps so that groups of near copies don't become all their pairs:
@@ -43,12 +43,15 @@ FEW, SLOTS = 64, 1 << 18
 BAND_STEPS = 3
 #: At most so many rounds of linking to large components; pairs left per tile row that end them (as does a round that leaves nine tenths).
 ROUNDS, LINEAR = 6, 2
+#: Numbers of a short bitmap, which pairs of a tile are held against before they are made.
+SHORT = 8
+_SHORT = [f"g{i}" for i in range(SHORT)]
 _LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
-def _bits(grams: np.ndarray) -> bytes:
-    """Parity bitmap of a power of two of bits, at least the set's size; folds to any smaller one."""
-    width = max(64, 1 << int(len(grams) - 1).bit_length())
+def _bits(grams: np.ndarray, width: int = 0) -> bytes:
+    """Parity bitmap of a power of two of bits, by default at least the set's size; folds to any smaller one."""
+    width = width or max(64, 1 << int(len(grams) - 1).bit_length())
     odd = np.bincount((grams >> np.uint64(20)) & np.uint64(width - 1), minlength=width) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
@@ -247,17 +250,19 @@ def _possible(a: str, b: str, percent: int) -> Column:
 
 
 def _open_sets(one: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, n, bits, grams of the sets in tiles."""
+    """sid, n, bits, grams of the sets in tiles, and a short bitmap in whole numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = [_bits(np.frombuffer(x, np.uint64)) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary()), batch.column(2)], ["sid", "n", "bits", "grams"])
+            grams = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            bits = pa.array([_bits(g) for g in grams], pa.binary())
+            short = np.array([np.frombuffer(_bits(g, 64 * SHORT), np.int64) for g in grams], np.int64).reshape(-1, SHORT)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits, batch.column(2), *(pa.array(c) for c in short.T)], ["sid", "n", "bits", "grams", *_SHORT])
 
     # Most sets are in no tile: a filter of fixed size spares them the shuffle of the join.
     slots = F.broadcast(wanted.select(_sid_slot().alias("_slot")).distinct())  # at most SLOTS rows
     some = one.withColumn("_slot", _sid_slot()).join(slots, "_slot", "left_semi")
-    return some.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).mapInArrow(run, "sid long, n long, bits binary, grams binary")
+    return some.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).mapInArrow(run, "sid long, n long, bits binary, grams binary, " + ", ".join(f"{c} long" for c in _SHORT))
 
 
 def _bounded(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
@@ -375,9 +380,13 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
         scratch.drop(left)
     # A pair is made in the first of its tiles only.
     mine = left.groupBy("s.sid").agg(F.collect_set("x").alias("all"))
-    before = left.join(mine, F.col("s.sid") == mine["sid"]).select("x", "y", "s", "label", F.filter("all", lambda t: t < F.col("x")).alias("before"))
+    mine = mine.join(open_sets.select("sid", *_SHORT), "sid")
+    before = left.join(mine, F.col("s.sid") == mine["sid"]).select("x", "y", "s", "label", F.filter("all", lambda t: t < F.col("x")).alias("before"), *_SHORT)
     p, q = before.alias("p"), before.alias("q")
-    across = (F.col("p.label") < F.col("q.label")) & _possible("p.s", "q.s", percent) & ~F.arrays_overlap("p.before", "q.before")
+    differ = sum((F.bit_count(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in _SHORT), F.lit(0))
+    sizes = F.col("p.s.n") + F.col("q.s.n")
+    overlap = (sizes - differ) * (100 + percent) >= sizes * (2 * percent)
+    across = (F.col("p.label") < F.col("q.label")) & _possible("p.s", "q.s", percent) & overlap & ~F.arrays_overlap("p.before", "q.before")
     rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & across).select(*_pair("p.s.sid", "q.s.sid")).distinct()
     more = scratch.write(_verified(_bounded(rest, open_sets, percent), open_sets, percent), "links")
     final = labels if more.isEmpty() else _joined(labels, more, scratch)
