@@ -34,11 +34,9 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Places where a token always begins: a blank or a line's end between other characters, after a line's end, and a point
 #: or comma after a letter. A text's ids are those of its pieces cut there.
 _CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\n)(?=\S)|(?<=[a-z])(?=[.,])")
-#: Pieces whose ids a worker remembers, and the longest of them in characters; others are encoded anew.
-MEMO, MEMO_CHARS = 1_000_000, 40
-#: By path: tokenizers, and coders, which a worker keeps from task to task.
+#: Pieces whose ids a task remembers, and the longest of them in characters; others are encoded anew.
+MEMO, MEMO_CHARS = 400_000, 40
 _LOADED: dict = {}
-_CODERS: dict = {}
 
 
 def _tokenizer(path: str | None):
@@ -94,12 +92,6 @@ class Coder:
         return out
 
 
-def _coder(path: str | None) -> Coder:
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
-
-
 def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """Token pieces: doc_id, piece, start, length, ids_crc32, and the place `part`, `nth` (rank among
     the pieces of one length in that part)."""
@@ -107,7 +99,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer:
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seen = _coder(tokenizer), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
+        coder, part, seen = Coder(tokenizer), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
