@@ -20,7 +20,8 @@ shingles are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -249,6 +250,14 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (most * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent) & _pairs_within(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
 
 
+def wanted_sets(one: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid, n, grams of the sets in wanted (sid), once each."""
+    # Most sets are in no tile: a filter of fixed size spares them the shuffle of the join.
+    slots = F.broadcast(wanted.select(_sid_slot().alias("_slot")).distinct())  # at most SLOTS rows
+    some = one.withColumn("_slot", _sid_slot()).join(slots, "_slot", "left_semi")
+    return some.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+
+
 def _open_sets(one: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, n, bits, grams of the sets in tiles, and a short bitmap in whole numbers."""
 
@@ -259,10 +268,7 @@ def _open_sets(one: DataFrame, wanted: DataFrame) -> DataFrame:
             short = np.array([np.frombuffer(_bits(g, 64 * SHORT), np.int64) for g in grams], np.int64).reshape(-1, SHORT)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits, batch.column(2), *(pa.array(c) for c in short.T)], ["sid", "n", "bits", "grams", *_SHORT])
 
-    # Most sets are in no tile: a filter of fixed size spares them the shuffle of the join.
-    slots = F.broadcast(wanted.select(_sid_slot().alias("_slot")).distinct())  # at most SLOTS rows
-    some = one.withColumn("_slot", _sid_slot()).join(slots, "_slot", "left_semi")
-    return some.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams")).mapInArrow(run, "sid long, n long, bits binary, grams binary, " + ", ".join(f"{c} long" for c in _SHORT))
+    return wanted_sets(one, wanted).mapInArrow(run, "sid long, n long, bits binary, grams binary, " + ", ".join(f"{c} long" for c in _SHORT))
 
 
 def _bounded(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
@@ -321,8 +327,8 @@ def _joined(labels: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
 def _open(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their component's label, of the tiles that hold more than one component."""
     placed = shared.select("x", "y", "s", "s.sid").join(labels, "sid", "left").select("x", "y", "s", F.coalesce("label", "sid").alias("label")).distinct()
-    of_tile = Window.partitionBy("x", "y")
-    return placed.withColumns({"lo": F.min("label").over(of_tile), "hi": F.max("label").over(of_tile)}).where("lo <> hi").drop("lo", "hi")
+    torn = placed.groupBy("x", "y").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("x", "y")
+    return placed.join(torn, ["x", "y"], "left_semi")
 
 
 def own_of(s: str) -> Column:
@@ -334,28 +340,26 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row."""
-    scratch = Scratch(docs.sparkSession, "ngram")
-    stored = scratch.write(sets(docs, size), "sets")
-    ids = scratch.write(stored.select("doc_id", "n", "sid"), "ids")
-    one = stored.where("grams is not null").select("sid", "n", "grams")
-    rows = _prefixes(one, percent, scratch)
-    # A member of a band is also offered to the next one where larger partners may be.
-    bands = F.array_distinct(F.array(_band(F.col("n"), percent), _band(F.col("n") * (100.0 / percent), percent)))
-    # The centre has the fewest shingles of its own: of a text and its edited copies that is the text.
-    about = F.struct(*ABOUT)
-    nearest = F.struct((F.col("alone") + F.coalesce("alone_2", F.col("alone") * 2)).alias("own"), F.xxhash64("sid").alias("h"), about.alias("s"))
-    of_tile = Window.partitionBy("key", "tile")
-    # Tiles with the same members count once: a tile's name is the exclusive or of its members' hashes.
-    named = {"x": F.bit_xor(F.xxhash64("sid")).over(of_tile), "y": F.bit_xor(F.xxhash64(F.lit(1), "sid")).over(of_tile), "m": F.count("*").over(of_tile), "c": F.min(nearest).over(of_tile)}
-    tiles = rows.select("key", *ABOUT, F.explode(bands).alias("tile")).withColumns(named).where("m > 1")
-    shared = scratch.write(tiles.select("x", "y", about.alias("s"), "c").distinct(), "tiles")
-    scratch.keep(stored, ids, shared)
-    open_sets = scratch.write(_open_sets(one, shared.select("s.sid").distinct()), "open")
-    scratch.drop(stored)
+@dataclass(frozen=True)
+class Sketch:
+    """What rules a pair out before its sets are compared. columns: of open_sets, that near() needs of both; near(p, q, percent): a
+    condition on the members p and q of a tile (the struct s, and columns); bounded(pairs, open_sets, percent): the pairs it leaves."""
+
+    columns: tuple[str, ...]
+    near: Callable[[str, str, int], Column]
+    bounded: Callable[[DataFrame, DataFrame, int], DataFrame]
+
+
+def _short_overlap(p: str, q: str, percent: int) -> Column:
+    differ = sum((F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in _SHORT), F.lit(0))
+    sizes = F.col(f"{p}.s.n") + F.col(f"{q}.s.n")
+    return (sizes - differ) * (100 + percent) >= sizes * (2 * percent)
+
+
+def settle(shared: DataFrame, open_sets: DataFrame, sketch: Sketch, scratch: Scratch, percent: int) -> DataFrame:
+    """sid, label: components of the links within tiles. shared: x, y (a tile), s (a member's ABOUT), c (own, h and ABOUT of the tile's centre); open_sets: sid, n, grams and the sketch of every member."""
     star = shared.where("s.sid <> c.s.sid").where(_possible("s", "c.s", percent)).groupBy("s.sid").agg(F.min(F.struct("c.own", "c.h", F.col("c.s.sid").alias("with"))).alias("c")).select(*_pair("c.with", "sid")).distinct()
-    tested = scratch.write(_bounded(star, open_sets, percent), "star")
+    tested = scratch.write(sketch.bounded(star, open_sets, percent), "star")
     links = scratch.write(_verified(tested, open_sets, percent), "links")
     labels = components(links, scratch)
     # Tiles with members in different components: only pairs across them are still open. While these are many, the
@@ -373,25 +377,49 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
         last = pairs
         meet = left.join(tiles_left.select("x", "y", "c.label", "c.c").withColumnRenamed("label", "largest"), ["x", "y"]).where("label <> largest").where(_possible("s", "c.s", percent))
         meet = meet.groupBy("s.sid").agg(F.min(F.struct("c.own", "c.h", F.col("c.s.sid").alias("with"))).alias("c")).select(*_pair("c.with", "sid")).distinct()
-        found = scratch.write(_verified(_bounded(meet, open_sets, percent), open_sets, percent), "links")
+        found = scratch.write(_verified(sketch.bounded(meet, open_sets, percent), open_sets, percent), "links")
         if found.isEmpty():
             break
         labels = _joined(labels, found, scratch)
         scratch.drop(left)
     # A pair is made in the first of its tiles only.
     mine = left.groupBy("s.sid").agg(F.collect_set("x").alias("all"))
-    mine = mine.join(open_sets.select("sid", *_SHORT), "sid")
-    before = left.join(mine, F.col("s.sid") == mine["sid"]).select("x", "y", "s", "label", F.filter("all", lambda t: t < F.col("x")).alias("before"), *_SHORT)
+    mine = mine.join(open_sets.select("sid", *sketch.columns), "sid")
+    before = left.join(mine, F.col("s.sid") == mine["sid"]).select("x", "y", "s", "label", F.filter("all", lambda t: t < F.col("x")).alias("before"), *sketch.columns)
     p, q = before.alias("p"), before.alias("q")
-    differ = sum((F.bit_count(F.col(f"p.{c}").bitwiseXOR(F.col(f"q.{c}"))) for c in _SHORT), F.lit(0))
-    sizes = F.col("p.s.n") + F.col("q.s.n")
-    overlap = (sizes - differ) * (100 + percent) >= sizes * (2 * percent)
-    across = (F.col("p.label") < F.col("q.label")) & _possible("p.s", "q.s", percent) & overlap & ~F.arrays_overlap("p.before", "q.before")
+    across = (F.col("p.label") < F.col("q.label")) & _possible("p.s", "q.s", percent) & sketch.near("p", "q", percent) & ~F.arrays_overlap("p.before", "q.before")
     rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & across).select(*_pair("p.s.sid", "q.s.sid")).distinct()
-    more = scratch.write(_verified(_bounded(rest, open_sets, percent), open_sets, percent), "links")
-    final = labels if more.isEmpty() else _joined(labels, more, scratch)
+    more = scratch.write(_verified(sketch.bounded(rest, open_sets, percent), open_sets, percent), "links")
+    return labels if more.isEmpty() else _joined(labels, more, scratch)
+
+
+def classes(ids: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ids (doc_id, n, sid), from labels of sets."""
     own = ids.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("own"))
-    named = own.join(final, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "own")
-    classes = scratch.write(named.join(named.groupBy("label").agg(F.min("own").alias("component_id")), "label").select("sid", "component_id"), "classes")
-    scratch.keep(ids, classes)
-    return ids.join(classes, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    named = own.join(labels, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "own")
+    of_set = scratch.write(named.join(named.groupBy("label").agg(F.min("own").alias("component_id")), "label").select("sid", "component_id"), "classes")
+    scratch.keep(ids, of_set)
+    return ids.join(of_set, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row."""
+    scratch = Scratch(docs.sparkSession, "ngram")
+    stored = scratch.write(sets(docs, size), "sets")
+    ids = scratch.write(stored.select("doc_id", "n", "sid"), "ids")
+    one = stored.where("grams is not null").select("sid", "n", "grams")
+    rows = _prefixes(one, percent, scratch)
+    # A member of a band is also offered to the next one where larger partners may be.
+    bands = F.array_distinct(F.array(_band(F.col("n"), percent), _band(F.col("n") * (100.0 / percent), percent)))
+    # The centre has the fewest shingles of its own: of a text and its edited copies that is the text.
+    about = F.struct(*ABOUT)
+    nearest = F.struct((F.col("alone") + F.coalesce("alone_2", F.col("alone") * 2)).alias("own"), F.xxhash64("sid").alias("h"), about.alias("s"))
+    of_tile = Window.partitionBy("key", "tile")
+    # Tiles with the same members count once: a tile's name is the exclusive or of its members' hashes.
+    named = {"x": F.bit_xor(F.xxhash64("sid")).over(of_tile), "y": F.bit_xor(F.xxhash64(F.lit(1), "sid")).over(of_tile), "m": F.count("*").over(of_tile), "c": F.min(nearest).over(of_tile)}
+    tiles = rows.select("key", *ABOUT, F.explode(bands).alias("tile")).withColumns(named).where("m > 1")
+    shared = scratch.write(tiles.select("x", "y", about.alias("s"), "c").distinct(), "tiles")
+    scratch.keep(stored, ids, shared)
+    open_sets = scratch.write(_open_sets(one, shared.select("s.sid").distinct()), "open")
+    scratch.drop(stored)
+    return classes(ids, settle(shared, open_sets, Sketch(tuple(_SHORT), _short_overlap, _bounded), scratch, percent), scratch)
