@@ -1,7 +1,7 @@
 """The rule engine: which rules match where, what is dropped, and the outcome of every check.
 
-files: artifact_id, file_ord, path, content, language, is_decompiled. Matching is one pass over the files with a built-in
-expression for each rule; only matches are shuffled, to number them by place. Rules are rows of a catalogue, so further rules
+files: artifact_id, file_ord, path, content, language, is_decompiled. Matching is one pass over the files: a prefilter finds the rules whose
+literals a text holds at all, and only their expressions run over it. Only matches are shuffled, without the text, to number them by place. Rules are rows of a catalogue, so further rules
 are further `Rule` values; a predicate of their own goes into `ignores`.
 
 Nulls: a null path or content counts as empty; repeated files are examined each.
@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from quarryscan.functions import paths as P
 from quarryscan.functions import text as T
 
+from .prefilter import possible
 from .rulebook import CATEGORIES, FAMILIES, RULES, Rule
 
 KEYS = ["artifact_id", "file_ord"]
@@ -37,6 +38,11 @@ def _jwt_role(token: Column) -> Column:
     return F.get_json_object(F.try_to_binary(padded, F.lit("base64")).cast("string"), "$.role")
 
 
+def preceded_by(before: Column, guard: str) -> Column:
+    """Whether a guard stands on one of the lines down to the match's."""
+    return F.exists(before, lambda x: x.rlike(guard))
+
+
 #: Predicates that drop a match; columns: path, line_text, column, match, secret, context, before (lines), and the file's flags.
 IGNORES: dict[str, Callable[[], Column]] = {
     "comment": lambda: T.is_comment(F.col("line_text")),
@@ -59,7 +65,7 @@ IGNORES: dict[str, Callable[[], Column]] = {
     "bounded_size": lambda: F.col("line_text").rlike(r"(?i)math\.(?:min|clamp)|\b(?:length|len|size|count)\w*\s*(?:<=?|>=?)\s*[\w.]+|\?\s*stackalloc|:\s*stackalloc") | F.col("match").rlike(r"\[\s*(?:[A-Z][A-Z0-9_]*|Max\w*|\d+)\s*\]"),
     "bounded_read": lambda: F.col("line_text").rlike(r"(?i)\bbounded\w*\.|max\w*bytes|withlimit\s*\(|maxresponse"),
     "compiler_made": lambda: F.col("line_text").rlike(r"<>|>5__|<\w+>\w*__"),
-    "scheme_checked": lambda: F.exists("before", lambda x: x.rlike(_SCHEME)),
+    "scheme_checked": lambda: preceded_by(F.col("before"), _SCHEME),
 }
 
 
@@ -96,15 +102,14 @@ def matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every match of every applicable rule: the file's keys, path and flags, rule_id, pos, match, start (0-based), line (1-based), column
     (0-based), line_text, context (120 characters on both sides), before (the lines down to the match's, at most 16)."""
     content = F.coalesce("content", F.lit(""))
-    base = files.select(
-        *KEYS, F.coalesce("path", F.lit("")).alias("path"), content.alias("content"), F.coalesce("language", F.lit("Unknown")).alias("language"),
-        T.is_pattern_catalogue(content).alias("is_catalogue"), (content.rlike(_FETCHES) & content.rlike(_WRITES) & content.rlike(_RUNS_FILE)).alias("fetches_and_writes"),
-    )
+    named = files.select(*KEYS, F.coalesce("path", F.lit("")).alias("path"), content.alias("content"), F.coalesce("language", F.lit("Unknown")).alias("language"))
+    base = named.withColumn("_may", possible(F.col("content"), rules)).where(F.size("_may") > 0)
 
     def hits(r: Rule) -> Column:
         found, pieces = F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0)), F.split("content", r.pattern, -1)
         pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), _lengths(b, "b"), _lengths(m, "l")))
-        return F.when(applies(r) & F.col("content").rlike(r.pattern), F.struct(F.lit(r.id).alias("rule_id"), pairs.alias("hits")))
+        may = F.array_contains("_may", rules.index(r)) & applies(r)
+        return F.when(may & F.col("content").rlike(r.pattern), F.struct(F.lit(r.id).alias("rule_id"), pairs.alias("hits")))
 
     per_rule = base.withColumn("_r", F.explode(F.filter(F.array(*[hits(r) for r in rules]), lambda x: x.isNotNull())))
     plus, most = (lambda a, b: a + b), (lambda a, b: F.greatest(a, b))
@@ -119,20 +124,34 @@ def matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     after = F.transform(F.arrays_zip(F.col("_h").alias("h"), F.col("_end").alias("e")), lambda x: F.greatest(F.when(x["h"]["l"]["nl"] > 0, x["e"] - x["h"]["l"]["tail"]), F.lit(0)))
     one = one.withColumns({"_b": begins, "_a": F.slice(F.concat(F.array(F.lit(0)), after), 1, F.size("_h"))})
     one = one.withColumns({"_ls": T.running(F.zip_with("_b", "_a", most), F.lit(0), most, "int"), "_lines": T.lines(F.col("content"))})
-    rows = F.transform(
-        F.arrays_zip(F.col("_h").alias("h"), F.col("_end").alias("e"), F.col("_nl").alias("nl"), F.col("_ls").alias("ls")),
-        lambda x, i: F.struct(i.alias("pos"), x["h"]["m"].alias("match"), (x["e"] - x["h"]["l"]["n"]).alias("start"), (x["nl"] - x["h"]["l"]["nl"] + 1).alias("line"), x["ls"].alias("line_start")),
-    )
-    flat = one.select(*KEYS, "path", "language", "is_catalogue", "fetches_and_writes", "rule_id", "content", "_lines", F.explode(rows).alias("m"))
     wants = lambda name: F.col("rule_id").isin(*[r.id for r in rules if name in r.ignore]) if any(name in r.ignore for r in rules) else F.lit(False)
-    first = F.greatest(F.col("m.line") - LOOK_BACK, F.lit(1))
-    return flat.select(
-        *KEYS, "path", "language", "is_catalogue", "fetches_and_writes", "rule_id", "m.pos", "m.match", "m.start", "m.line",
-        (F.col("m.start") - F.col("m.line_start")).alias("column"),
-        F.coalesce(F.get("_lines", F.col("m.line") - 1), F.lit("")).alias("line_text"),
-        F.when(wants("pattern_text"), F.substring("content", F.greatest(F.col("m.start") - 119, F.lit(1)), F.length("m.match") + 240)).alias("context"),
-        F.when(wants("scheme_checked"), F.slice("_lines", first, F.col("m.line") - first + 1)).alias("before"),
-    )
+    one = one.withColumns({
+        "is_catalogue": T.is_pattern_catalogue(F.col("content")),
+        "fetches_and_writes": wants("no_download") & F.col("content").rlike(_FETCHES) & F.col("content").rlike(_WRITES) & F.col("content").rlike(_RUNS_FILE),
+    })
+
+    def row(x: Column, i: Column) -> Column:
+        """A match with what its predicates look at, so that the text stays behind."""
+        start, line = x["e"] - x["h"]["l"]["n"], x["nl"] - x["h"]["l"]["nl"] + 1
+        first = F.greatest(line - LOOK_BACK, F.lit(1))
+        return F.struct(
+            i.alias("pos"), x["h"]["m"].alias("match"), start.alias("start"), line.alias("line"), (start - x["ls"]).alias("column"),
+            F.coalesce(F.get("_lines", line - 1), F.lit("")).alias("line_text"),
+            F.when(wants("pattern_text"), F.substring("content", F.greatest(start - 119, F.lit(1)), x["h"]["l"]["n"] + 240)).alias("context"),
+            F.when(wants("scheme_checked"), F.slice("_lines", first, line - first + 1)).alias("before"),
+        )
+
+    rows = F.transform(F.arrays_zip(F.col("_h").alias("h"), F.col("_end").alias("e"), F.col("_nl").alias("nl"), F.col("_ls").alias("ls")), row)
+    flat = one.select(*KEYS, "path", "language", "is_catalogue", "fetches_and_writes", "rule_id", F.explode(rows).alias("m"))
+    return flat.select(*KEYS, "path", "language", "is_catalogue", "fetches_and_writes", "rule_id", "m.*")
+
+
+def match_counts(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """artifact_id, rule_id, n_matches: matches before anything is dropped, of the rules that have some; languages are not looked at."""
+    base = files.select("artifact_id", F.coalesce("content", F.lit("")).alias("content")).withColumn("_may", possible(F.col("content"), rules)).where(F.size("_may") > 0)
+    counts = [F.when(F.array_contains("_may", i), F.struct(F.lit(r.id).alias("rule_id"), F.regexp_count("content", F.lit(r.pattern)).alias("n"))) for i, r in enumerate(rules)]
+    each = base.select("artifact_id", F.explode(F.filter(F.array(*counts), lambda x: x.isNotNull() & (x["n"] > 0))).alias("r"))
+    return each.groupBy("artifact_id", "r.rule_id").agg(F.sum("r.n").cast("long").alias("n_matches"))
 
 
 def examine(files: DataFrame, rules: Sequence[Rule] = RULES, ignores: Mapping[str, Callable[[], Column]] = IGNORES) -> DataFrame:

@@ -6,7 +6,7 @@ arithmetic on its id, so that scores, verdicts and splits have every combination
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryscan.operators.rulebook import CAPABILITIES, CATEGORIES
@@ -16,12 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """artifact_id, file_ord, path, content, language, is_decompiled."""
+def files(spark: SparkSession, sf_dir: str, language: Column | None = None) -> DataFrame:
+    """artifact_id, file_ord, path, content, language (CSharp unless a column of documents is given), is_decompiled."""
     docs = table(spark, sf_dir, "documents")
     stem = F.regexp_extract(F.coalesce("text", F.lit("")), "[A-Za-z]{4,}", 0)
     path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.when(F.col("doc_id") % 3 == 0, "src/test/").otherwise("src/"), F.col("doc_id").cast("string"), F.lit("/"), stem, F.lit("."), F.coalesce("lang", F.lit("txt")))
-    return docs.select(F.col("source").alias("artifact_id"), F.col("doc_id").alias("file_ord"), path.alias("path"), F.coalesce("text", F.lit("")).alias("content"), F.lit("CSharp").alias("language"), F.lit(False).alias("is_decompiled"))
+    return docs.select(F.col("source").alias("artifact_id"), F.col("doc_id").alias("file_ord"), path.alias("path"), F.coalesce("text", F.lit("")).alias("content"), (F.lit("CSharp") if language is None else language).alias("language"), F.lit(False).alias("is_decompiled"))
 
 
 FILES = """(SELECT source AS artifact_id, doc_id AS file_ord, coalesce(source, 'none') || '/' || CASE WHEN doc_id % 3 = 0 THEN 'src/test/' ELSE 'src/' END || doc_id || '/' ||

@@ -29,11 +29,11 @@ WORDS = (
     Rule("QS-WORD-006", "A language that is not there", "Network", 2, 2, r"(?md)\bthe\b", languages=("xx", "yy")),
 )
 GUARD = r"(?i)licen[sc]e|copyright"
+ADDRESS = Rule("QS-WORD-007", "An address sign", "Network", 1, 1, "@", ("scheme_checked",))
 
 
 def _by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return files(spark, sf_dir).drop("language").join(docs.select(F.col("doc_id").alias("file_ord"), F.coalesce("lang", F.lit("Unknown")).alias("language")), "file_ord")
+    return files(spark, sf_dir, F.coalesce("lang", F.lit("Unknown")))
 
 
 def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +50,10 @@ def secret_findings_conversations(spark: SparkSession, sf_dir: str) -> DataFrame
 def rule_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of every plain rule in every artifact, before anything is dropped; rules without a match have 0."""
     found = files(spark, sf_dir)
-    counts = found.groupBy("artifact_id").agg(*[F.sum(F.regexp_count("content", F.lit(r.pattern))).alias(r.id) for r in PLAIN])
-    rows = F.array(*[F.struct(F.lit(r.id).alias("rule_id"), F.col(f"`{r.id}`").cast("long").alias("n_matches")) for r in PLAIN])
-    return counts.select("artifact_id", F.explode(rows).alias("r")).select("artifact_id", "r.*")
+    counts = rules.match_counts(found, PLAIN)
+    every = found.select("artifact_id").distinct().crossJoin(F.broadcast(rules.rule_table(spark, PLAIN).select("rule_id")))  # a row per rule
+    same = every["artifact_id"].eqNullSafe(counts["artifact_id"]) & (every["rule_id"] == counts["rule_id"])
+    return every.join(counts, same, "left").select(every["artifact_id"], every["rule_id"], F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"))
 
 
 def word_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +93,8 @@ def cipher_word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def guard_lookback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with an address that have a guard word on them or on the fifteen lines before."""
-    own = Window.partitionBy("file_ord").orderBy("line_no").rowsBetween(-rules.LOOK_BACK, 0)
-    rows = _lines(spark, sf_dir).withColumn("guarded", F.max(F.col("text").rlike(GUARD)).over(own)).where(F.col("text").contains("@"))
+    found = rules.matches(files(spark, sf_dir), (ADDRESS,))
+    rows = found.select("artifact_id", "file_ord", "line", rules.preceded_by(F.col("before"), GUARD).alias("guarded")).distinct()
     return rows.groupBy("artifact_id").agg(F.count("*").alias("n_lines"), F.sum(F.col("guarded").cast("long")).alias("n_guarded"))
 
 
