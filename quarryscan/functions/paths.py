@@ -48,12 +48,14 @@ def language_of(path: Column) -> Column:
 
 
 def is_test_or_example(path: Column) -> Column:
+    """The parts and ends of paths that mark tests and examples."""
     low = F.lower(path)
     inside = low.contains("/test") | low.contains("/spec") | low.contains("/__mocks__") | low.contains("/example") | low.contains("/fixture")
     return inside | low.endswith(".test.js") | low.endswith(".spec.ts") | low.endswith(".example") | low.endswith(".sample")
 
 
 def is_generated(path: Column) -> Column:
+    """The ends and folders of files that programs write."""
     low = F.lower(path)
     return low.endswith(".min.js") | low.endswith(".bundle.js") | low.endswith(".g.cs") | low.endswith(".designer.cs") | low.contains("/vendor/")
 
