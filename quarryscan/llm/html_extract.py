@@ -7,11 +7,13 @@ the slots inside the page's content root: an `article` or `main` element where t
 elements, reader comments, adverts, notices and forms go by element, role or class before the alignment.
 
 A page is no evidence about its copies: pages of which more than half of the content root (nine tenths of the body, without a
-content root) is constant are copies. A block is template when it is constant against two different references; without a
-content root one is enough where the host has no second.
+content root) is constant are copies. A block is template when it is constant against two references and more than half of those that are no copies
+(without a second one, against that one). Inside a content root it takes three quarters of at least `LEAST` references, so that a sentence which some pages
+of a host have in common stays. A heading that the page's title holds is never template.
 
 Defined cases: null or empty html gives the empty text; a host with one page has no template; unclosed elements end where HTML
-ends them; rows without an id are no reference; repeated rows are extracted alike; an empty table gives no rows.
+ends them; rows without an id are no reference; repeated rows are extracted alike; an empty table gives no rows; very long or deep pages are
+pages like any other. Of clashing columns only `page_id`, `url` and `html` are read.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ _BAD_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search",
 _WHITE = re.compile(r"[\x20\x09\x0A\x0C\x0D]+")
 #: Reference pages of one host at most: the distinct pages of the smallest hash.
 REFERENCES = 8
+#: References that can make something inside a content root template.
+LEAST = 3
+#: Rows of references that are sent to every task; more are joined by shuffles.
+SENT = 100_000
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Pages of one host that are dealt together.
 _GROUP = 512
 
@@ -117,6 +124,7 @@ class Page:
 
     def __init__(self, root: Node):
         self.root = root
+        self.title = next((_text(n) for n in _walk(root) if n.tag == "title"), "")
         roots = [n for n in _walk(root) if n.tag in ("article", "main")]
         inner = [n for n in roots if n.tag == "article" and not n.bad] or roots
         # Nested roots are part of the outer one.
@@ -265,8 +273,11 @@ def different(pages: Sequence[Page]) -> list[Page]:
 def template(page: Page, references: Sequence[Page]) -> set[int]:
     """Identities of the page's innermost blocks that the wrapper holds constant."""
     held = [e for r in references if (e := evidence(page, r)) is not None]
-    least = 2 if page.tops else min(2, len(held))
-    return {id(page.nodes[k]) for k, n in Counter(k for e in held for k in e).items() if n >= least}
+    if page.tops and len(held) < LEAST:
+        return set()
+    least = -(-3 * len(held) // 4) if page.tops else len(held) // 2 + 1
+    found = [page.nodes[k] for k, n in Counter(k for e in held for k in e).items() if n >= least]
+    return {id(n) for n in found if n.tag not in _HEADINGS or _text(n) not in page.title}
 
 
 def extract(html: str | None, reference: Node | Sequence[Page] | None = None) -> str:
@@ -297,10 +308,12 @@ def pages_text(pages: DataFrame) -> DataFrame:
     # Narrow rows choose the references: a fixed-size summary of a host, not its pages.
     distinct = rows.where("page_id is not null and html <> ''").groupBy("host", F.xxhash64("html").alias("_hash")).agg(F.min("page_id").alias("page_id"))
     chosen = distinct.withColumn("_n", F.row_number().over(Window.partitionBy("host").orderBy("_hash"))).where(F.col("_n") <= REFERENCES).select("host", "page_id", "_hash")
-    # Large hosts are dealt in groups, each with its copy of the references.
-    hosts = F.broadcast(rows.groupBy("host").agg(F.ceil(F.count("*") / _GROUP).cast("int").alias("_groups")))
+    # Large hosts are dealt in groups, each with its copy of the references. Few hosts are sent to every task, more meet their pages in shuffles.
+    hosts = rows.groupBy("host").agg(F.ceil(F.count("*") / _GROUP).cast("int").alias("_groups"))
+    if hosts.count() * REFERENCES <= SENT:
+        hosts, chosen = F.broadcast(hosts), F.broadcast(chosen)
     own = rows.join(hosts, "host").select("host", F.pmod(F.xxhash64("page_id", "url"), "_groups").cast("int").alias("_group"), F.lit(True).alias("_page"), "page_id", "url", "html")
-    reference = rows.withColumn("_hash", F.xxhash64("html")).join(F.broadcast(chosen), ["host", "page_id", "_hash"]).groupBy("host", "page_id", "_hash").agg(F.min("html").alias("html"))
+    reference = rows.withColumn("_hash", F.xxhash64("html")).join(chosen, ["host", "page_id", "_hash"]).groupBy("host", "page_id", "_hash").agg(F.min("html").alias("html"))
     copies = reference.join(hosts, "host").select("host", F.explode(F.sequence(F.lit(0), F.col("_groups") - 1)).alias("_group"), F.lit(False).alias("_page"), "page_id", F.lit(None).cast("string").alias("url"), "html")
     dealt = own.unionByName(copies).repartition("host", "_group").sortWithinPartitions("host", "_group", "_page", "page_id")
 

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from quarryscan.llm import html_extract
 
 PAGES = "page_id bigint, url string, html string"
@@ -48,3 +51,59 @@ def test_alignment_is_the_best_of_all():
 def test_deep_pages_end():
     deep = "<div>" * 3000 + "<p>{}</p><p>same</p>"
     assert html_extract.extract(deep.format("one"), html_extract.parse(deep.format("other words"))) == "one"
+
+
+def test_sentences_that_some_pages_share_stay(spark):
+    rng = random.Random(4)
+    pool = [f"A sentence that {k} pages may have." for k in range(30)]
+    page = lambda i: f"<html><head><title>Head {i % 9} - Site</title></head><body><div class='menu'>Home</div><article><h1>Head {i % 9}</h1>" + "".join(f"<p>{t}</p>" for t in want[i][1:]) + "</article></body></html>"
+    want = [[f"Head {i % 9}", f"Only page {i} says this, at {'some ' * (i % 7)}length.", *rng.sample(pool, 6)] for i in range(40)]
+    assert _rows(spark, [page(i) for i in range(40)]) == {i: "\n".join(w) for i, w in enumerate(want)}
+
+
+def test_a_host_against_every_pairing_of_its_lines(spark):
+    """Pages of plain lines without telling tags: template is what longest common subsequences of lines with most other pages hold."""
+    rng = random.Random(6)
+    fixed = ["Home and contents", "All rights kept by the house", "Read more of this", "Send it on"]
+    pages = []
+    for i in range(7):
+        own = [f"Line {i}.{k} " + "word " * rng.randrange(1, 5) for k in range(rng.randrange(3, 9))]
+        for f in rng.sample(fixed, 4 if i % 3 else 3):
+            own.insert(rng.randrange(len(own) + 1), f)
+        pages.append([x.strip() for x in own])
+
+    def common(a, b):
+        best = [[(0, ())] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                both = (best[i][j][0] + len(x), (*best[i][j][1], i)) if x == y else (-1, ())
+                best[i + 1][j + 1] = max(both, best[i][j + 1], best[i + 1][j], key=lambda v: v[0])
+        return best[-1][-1]
+
+    trees = [html_extract.Page(html_extract.parse("<body>" + "".join(f"<p>{t}</p>" for t in p) + "</body>")) for p in pages]
+    for i, a in enumerate(pages):
+        for j, b in enumerate(pages):
+            if i != j:
+                assert sum(trees[i].size[k] for k in html_extract.evidence(trees[i], trees[j])) == common(a, b)[0]
+    got = _rows(spark, ["<body>" + "".join(f"<p>{t}</p>" for t in p) + "</body>" for p in pages])
+    for i, a in enumerate(pages):
+        kept = got[i].split("\n")
+        assert [t for t in a if t.startswith("Line")] == [t for t in kept if t.startswith("Line")]
+        held = Counter(t for j, _ in enumerate(pages) if j != i for t in {trees[i].nodes[k].kids[0] for k in html_extract.evidence(trees[i], trees[j])})
+        assert {t for t in a if t not in kept} == {t for t, n in held.items() if n >= 4}
+
+
+def test_many_hosts_take_the_way_of_shuffles(spark, monkeypatch):
+    body = lambda i: f"<body><div><p>Own {i}</p><p>Same on the host</p></div></body>"
+    rows = [(i, f"http://h{i % 3}.example.org/{i}", body(i)) for i in range(12)] + [(None, None, None), (50, "", "")]
+    frame = spark.createDataFrame(rows, PAGES).selectExpr("*", "1 AS host", "2 AS _group", "map('a', 1) AS _hash", "3 AS `x.y`")
+    one = sorted(map(str, html_extract.pages_text(frame).collect()))
+    monkeypatch.setattr(html_extract, "SENT", 0)
+    assert sorted(map(str, html_extract.pages_text(frame).collect())) == one
+    assert sum("text='Own" in r and "Same" not in r for r in one) == 12
+
+
+def test_empty_tables_and_very_long_pages(spark):
+    assert html_extract.pages_text(spark.createDataFrame([], PAGES)).collect() == []
+    words = "<p>" + "word &amp; more " * 200_000 + "</p>"
+    assert [r["n_chars"] for r in html_extract.pages_text(spark.createDataFrame([(1, "http://a/", words)], PAGES)).collect()] == [12 * 200_000 - 1]
