@@ -6,7 +6,9 @@ the planes of two sets; their share, corrected for the 2^-BITS chance that diffe
 estimate lies more than `SURE` standard deviations under the threshold goes; all others are confirmed by exact intersection of the full sets.
 
 Equal sets are one class before anything is paired. A bucket (a band's hash and a band of set sizes) doesn't become all its
-pairs: its members meet centres in rounds, and only members of different components are paired in the end (`ngram_join.settle`). Two sets at the threshold
+pairs: its members meet centres in rounds, and only members of different components are paired in the end (`ngram_join.settle`). The members left for that get
+a second, longer signature (`FINE` minima of `FINE_BITS` bits) and a bitmap that bounds their overlap from above, which rule out most pairs before they
+are made; sets just under the threshold are beyond what an estimate tells apart. Two sets at the threshold
 share no band with a probability of (1 - 0.8^ROWS)^BANDS, 5e-8; links above it are lost more rarely still.
 
 Defined cases: null or wordless texts have an empty set, link with nothing and are kept; fewer than four words are one shingle; repeated rows share
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, signed
-from .ngram_join import THRESHOLD, Sketch, _band, _flat, classes, sets, settle, wanted_sets
+from .ngram_join import SHORT_COLUMNS, THRESHOLD, Sketch, _band, _flat, classes, sets, settle, short_bitmaps, short_overlap, wanted_sets
 
 SIZE = 4
 #: Minima of a band, and bands. Their product is a multiple of 64.
@@ -35,25 +37,32 @@ BITS, SURE = 4, 6
 #: Shingles hashed together.
 TOGETHER = 1 << 19
 MINIMA = ROWS * BANDS
-_WORDS = MINIMA // 64
-PLANES = tuple(f"b{j}_{w}" for j in range(BITS) for w in range(_WORDS))
-_SEEDS = np.random.default_rng(20).integers(0, 1 << 64, (2, MINIMA), np.uint64)
+#: Minima and low bits of the signature of sets that are paired with each other.
+FINE, FINE_BITS = 1024, 2
+
+
+def _names(prefix: str, bits: int, count: int) -> tuple[str, ...]:
+    return tuple(f"{prefix}{j}_{w}" for j in range(bits) for w in range(count // 64))
+
+
+PLANES, FINE_PLANES = _names("b", BITS, MINIMA), _names("f", FINE_BITS, FINE)
+_SEEDS = np.random.default_rng(20).integers(0, 1 << 64, (2, MINIMA + FINE), np.uint64)
 _XOR, _MUL = _SEEDS[0], _SEEDS[1] | np.uint64(1)
 
 
-def minima(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """MINIMA x sets: the least hash of each set under each permutation; sets are the runs of flat that begin at starts."""
-    out = np.empty((MINIMA, len(starts)), np.uint64)
-    for i in range(MINIMA):
-        np.minimum.reduceat((flat ^ _XOR[i]) * _MUL[i], starts, out=out[i])
+def minima(flat: np.ndarray, starts: np.ndarray, first: int = 0, count: int = MINIMA) -> np.ndarray:
+    """count x sets: the least hash of each set under each permutation from `first` on; sets are the runs of flat that begin at starts."""
+    out = np.empty((count, len(starts)), np.uint64)
+    for i in range(count):
+        np.minimum.reduceat((flat ^ _XOR[first + i]) * _MUL[first + i], starts, out=out[i])
     return out
 
 
-def planes(least: np.ndarray) -> np.ndarray:
+def planes(least: np.ndarray, bits: int = BITS) -> np.ndarray:
     """sets x planes: bit j of all minima of a set, in words of 64."""
-    bits = (least[None] >> np.arange(BITS, dtype=np.uint64)[:, None, None]) & np.uint64(1)  # BITS x MINIMA x sets
-    words = bits.reshape(BITS, _WORDS, 64, -1) << np.arange(64, dtype=np.uint64)[None, None, :, None]
-    return np.bitwise_or.reduce(words, axis=2).reshape(BITS * _WORDS, -1).T
+    of_bit = (least[None] >> np.arange(bits, dtype=np.uint64)[:, None, None]) & np.uint64(1)  # bits x minima x sets
+    words = of_bit.reshape(bits, len(least) // 64, 64, -1) << np.arange(64, dtype=np.uint64)[None, None, :, None]
+    return np.bitwise_or.reduce(words, axis=2).reshape(bits * len(least) // 64, -1).T
 
 
 def band_keys(least: np.ndarray) -> np.ndarray:
@@ -66,15 +75,15 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return key.T
 
 
-def estimate(differ: float) -> float:
+def estimate(differ: float, count: int = MINIMA, bits: int = BITS) -> float:
     """Similarity of two sets, by the number of kept minima that differ; chance agreement is taken off."""
-    return 1 - differ / MINIMA / (1 - 2.0**-BITS)
+    return 1 - differ / count / (1 - 2.0**-bits)
 
 
-def most_differing(percent: int) -> int:
+def most_differing(percent: int, count: int = MINIMA, bits: int = BITS) -> int:
     """Kept minima that may differ in a pair at the threshold, SURE standard deviations out."""
-    p = (1 - percent / 100) * (1 - 2.0**-BITS)
-    return int(np.ceil(MINIMA * p + SURE * np.sqrt(MINIMA * p * (1 - p))))
+    p = (1 - percent / 100) * (1 - 2.0**-bits)
+    return int(np.ceil(count * p + SURE * np.sqrt(count * p * (1 - p))))
 
 
 def signatures(one: DataFrame) -> DataFrame:
@@ -97,20 +106,34 @@ def signatures(one: DataFrame) -> DataFrame:
     return one.select("sid", "grams").mapInArrow(run, "sid long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in PLANES))
 
 
-def _differ(left: str, right: str) -> Column:
+def fine_signatures(open_sets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """sid, FINE_PLANES and the short bitmap of the open sets in wanted (sid)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
+            if grams:
+                fine = signed(np.concatenate([planes(minima(g, np.zeros(1, np.int64), MINIMA, FINE), FINE_BITS) for g in grams]))
+                columns = [np.ascontiguousarray(c) for c in (*fine.T, *short_bitmaps(grams).T)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["sid", *FINE_PLANES, *SHORT_COLUMNS])
+
+    return open_sets.join(wanted, "sid", "left_semi").select("sid", "grams").mapInArrow(run, "sid long, " + ", ".join(f"{c} long" for c in (*FINE_PLANES, *SHORT_COLUMNS)))
+
+
+def _differ(left: str, right: str, prefix: str = "b", bits: int = BITS, count: int = MINIMA) -> Column:
     """The kept minima that differ: a minimum differs where any of its planes does."""
     of_word = []
-    for w in range(_WORDS):
+    for w in range(count // 64):
         x = None
-        for j in range(BITS):
-            plane = F.col(f"{left}b{j}_{w}").bitwiseXOR(F.col(f"{right}b{j}_{w}"))
+        for j in range(bits):
+            plane = F.col(f"{left}{prefix}{j}_{w}").bitwiseXOR(F.col(f"{right}{prefix}{j}_{w}"))
             x = plane if x is None else x.bitwiseOR(plane)
         of_word.append(F.bit_count(x))
     return sum(of_word[1:], of_word[0])
 
 
 def _near(p: str, q: str, percent: int) -> Column:
-    return _differ(f"{p}.", f"{q}.") <= most_differing(percent)
+    return short_overlap(p, q, percent) & (_differ(f"{p}.", f"{q}.", "f", FINE_BITS, FINE) <= most_differing(percent, FINE, FINE_BITS))
 
 
 def _bounded(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
@@ -140,7 +163,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
     planes_of = signed_sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(*[F.first(c).alias(c) for c in PLANES])
     open_sets = scratch.write(wanted_sets(one, wanted).join(planes_of, "sid"), "open")
     scratch.keep(ids, shared, open_sets)
-    found = classes(ids, settle(shared, open_sets, Sketch(PLANES, _near, _bounded), scratch, percent), scratch)
+    found = classes(ids, settle(shared, open_sets, Sketch((*FINE_PLANES, *SHORT_COLUMNS), fine_signatures, _near, _bounded), scratch, percent), scratch)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 

@@ -46,7 +46,7 @@ BAND_STEPS = 3
 ROUNDS, LINEAR = 6, 2
 #: Numbers of a short bitmap, which pairs of a tile are held against before they are made.
 SHORT = 8
-_SHORT = [f"g{i}" for i in range(SHORT)]
+SHORT_COLUMNS = tuple(f"g{i}" for i in range(SHORT))
 _LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
@@ -57,6 +57,11 @@ def _bits(grams: np.ndarray, width: int = 0) -> bytes:
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def short_bitmaps(sets_of: list[np.ndarray]) -> np.ndarray:
+    """sets x SHORT: bitmaps of one width for all, as whole numbers."""
+    return np.array([np.frombuffer(_bits(g, 64 * SHORT), np.int64) for g in sets_of], np.int64).reshape(-1, SHORT)
+
+
 def overlap_bound(left: bytes, right: bytes, n_left: int, n_right: int) -> int:
     """At least the size of the intersection."""
     a, b = np.frombuffer(left, np.uint8), np.frombuffer(right, np.uint8)
@@ -265,10 +270,10 @@ def _open_sets(one: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             grams = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
             bits = pa.array([_bits(g) for g in grams], pa.binary())
-            short = np.array([np.frombuffer(_bits(g, 64 * SHORT), np.int64) for g in grams], np.int64).reshape(-1, SHORT)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits, batch.column(2), *(pa.array(c) for c in short.T)], ["sid", "n", "bits", "grams", *_SHORT])
+            short = short_bitmaps(grams)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bits, batch.column(2), *(pa.array(c) for c in short.T)], ["sid", "n", "bits", "grams", *SHORT_COLUMNS])
 
-    return wanted_sets(one, wanted).mapInArrow(run, "sid long, n long, bits binary, grams binary, " + ", ".join(f"{c} long" for c in _SHORT))
+    return wanted_sets(one, wanted).mapInArrow(run, "sid long, n long, bits binary, grams binary, " + ", ".join(f"{c} long" for c in SHORT_COLUMNS))
 
 
 def _bounded(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
@@ -342,16 +347,18 @@ def _pair(a: str, b: str) -> list[Column]:
 
 @dataclass(frozen=True)
 class Sketch:
-    """What rules a pair out before its sets are compared. columns: of open_sets, that near() needs of both; near(p, q, percent): a
-    condition on the members p and q of a tile (the struct s, and columns); bounded(pairs, open_sets, percent): the pairs it leaves."""
+    """What rules a pair out before its sets are compared. of(open_sets, wanted): sid and the columns that near() needs of both, at least for the
+    sets in wanted; near(p, q, percent): a condition on the members p and q of a tile (the struct s, and columns); bounded(pairs, open_sets, percent): the
+    pairs it leaves."""
 
     columns: tuple[str, ...]
+    of: Callable[[DataFrame, DataFrame], DataFrame]
     near: Callable[[str, str, int], Column]
     bounded: Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
-def _short_overlap(p: str, q: str, percent: int) -> Column:
-    differ = sum((F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in _SHORT), F.lit(0))
+def short_overlap(p: str, q: str, percent: int) -> Column:
+    differ = sum((F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in SHORT_COLUMNS), F.lit(0))
     sizes = F.col(f"{p}.s.n") + F.col(f"{q}.s.n")
     return (sizes - differ) * (100 + percent) >= sizes * (2 * percent)
 
@@ -384,7 +391,7 @@ def settle(shared: DataFrame, open_sets: DataFrame, sketch: Sketch, scratch: Scr
         scratch.drop(left)
     # A pair is made in the first of its tiles only.
     mine = left.groupBy("s.sid").agg(F.collect_set("x").alias("all"))
-    mine = mine.join(open_sets.select("sid", *sketch.columns), "sid")
+    mine = mine.join(sketch.of(open_sets, mine.select("sid")), "sid")
     before = left.join(mine, F.col("s.sid") == mine["sid"]).select("x", "y", "s", "label", F.filter("all", lambda t: t < F.col("x")).alias("before"), *sketch.columns)
     p, q = before.alias("p"), before.alias("q")
     across = (F.col("p.label") < F.col("q.label")) & _possible("p.s", "q.s", percent) & sketch.near("p", "q", percent) & ~F.arrays_overlap("p.before", "q.before")
@@ -422,4 +429,4 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
     scratch.keep(stored, ids, shared)
     open_sets = scratch.write(_open_sets(one, shared.select("s.sid").distinct()), "open")
     scratch.drop(stored)
-    return classes(ids, settle(shared, open_sets, Sketch(tuple(_SHORT), _short_overlap, _bounded), scratch, percent), scratch)
+    return classes(ids, settle(shared, open_sets, Sketch(SHORT_COLUMNS, lambda found, _: found.select("sid", *SHORT_COLUMNS), short_overlap, _bounded), scratch, percent), scratch)
