@@ -24,6 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its name as it is, with dots and quotes in it."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def row_hash(rows: DataFrame) -> Column:
+    """A hash of all columns; nulls count, and maps (which have no hash) by their JSON."""
+    parts = [F.to_json(F.struct(named(f.name))) if "map<" in f.dataType.simpleString() or "variant" in f.dataType.simpleString() else named(f.name) for f in rows.schema.fields]
+    return F.xxhash64(*[x for c, p in zip(rows.columns, parts) for x in (named(c).isNull(), p)])
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small, whatever the length of the texts."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -3,7 +3,8 @@
 Documents are summed by the set of sources they belong to (their pattern). Each pattern offers its size
 once at no cost and again at a rising cost per repetition; tokens are routed from patterns to the
 quotas of their sources at least total cost. What a pattern gives is taken as whole rounds over all its
-documents and one part round over documents in seeded hash order.
+documents and one part round over documents in seeded hash order, up to the first that does not fit; the largest documents after it that still fit
+(`FILL` of them are looked at) take up the rest, so that what is missing is less than the smallest of these.
 
 The number of sources and patterns must be small enough for the driver (one row each); documents are never
 collected. Defined cases: null text has size 0 and gives 0; a null source is a source of its own; repeated
@@ -13,10 +14,13 @@ are carried along, but size, source_size, target and taken are the mix's; very l
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WORD_SEP, Scratch
+from .common import WORD_SEP, Scratch, row_hash
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -24,6 +28,8 @@ MOST = 2
 SEED = 20240
 #: Hash bits resolved by each refinement of the cut, and their number.
 _BITS, _LEVELS = 12, 4
+#: Documents of a pattern that may fill what is left at its cut: the largest that fit, in seeded order.
+FILL = 512
 
 
 def word_count(text: Column) -> Column:
@@ -71,15 +77,17 @@ def route(patterns: list[tuple[frozenset, int]], quota: dict, most: int = MOST)
     for s, q in quota.items():
         arc(at(("s", s)), 1, int(round(q)), 0)
     while True:
-        cost, via, queue = {0: 0}, {}, [0]
+        cost, via, queue, waiting = {0: 0}, {}, deque([0]), {0}
         while queue:
-            a = queue.pop(0)
+            a = queue.popleft()
+            waiting.discard(a)
             for i in out.get(a, []):
                 to, capacity, w = arcs[i]
                 if capacity > 0 and cost[a] + w < cost.get(to, 1 << 60):
                     cost[to], via[to] = cost[a] + w, i
-                    if to not in queue:
+                    if to not in waiting:
                         queue.append(to)
+                        waiting.add(to)
         if 1 not in cost:
             break
         path, node = [], 1
@@ -100,8 +108,7 @@ def mix(rows: DataFrame, members: Column, size: Column, key: Column, weights=WEI
     told apart by `_tie`, a hash of all their columns. Sizes are measured once, into a narrow table that the cuts are found on.
     """
     spark = rows.sparkSession
-    tie = F.xxhash64(*[F.col(f"`{c}`") if t != "map" else F.lit(0) for c, t in ((f.name, f.dataType.typeName()) for f in rows.schema.fields)])
-    narrow = rows.select(size.alias("_size"), F.array_sort(F.array_distinct(members)).alias("_members"), F.xxhash64(F.lit(seed), key, tie).alias("_hash"), F.struct("*").alias("_row"))
+    narrow = rows.select(size.alias("_size"), F.array_sort(F.array_distinct(members)).alias("_members"), F.xxhash64(F.lit(seed), key, row_hash(rows)).alias("_hash"), F.struct("*").alias("_row"))
     narrow = narrow.withColumn("_key", F.to_json(F.struct("_members")))
     plain = Scratch(spark, "mixing").write(narrow.drop("_row"), "sizes")
     sums = plain.groupBy("_key").agg(F.first("_members").alias("_members"), F.sum("_size").alias("n")).orderBy("_key").collect()  # a row per pattern
@@ -117,7 +124,10 @@ def mix(rows: DataFrame, members: Column, size: Column, key: Column, weights=WEI
     rounds = {i: given.get(i, 0) // n if n else 0 for i, (_, n) in enumerate(patterns)}
     rest = {i: given.get(i, 0) - rounds[i] * n for i, (_, n) in enumerate(patterns)}
     where = spark.createDataFrame([(r["_key"], i) for i, r in enumerate(sums)], "_key string, _p int")
-    cuts = _cuts(plain.join(F.broadcast(where), "_key").select("_p", "_size", "_hash"), rest)
+    known = plain.join(F.broadcast(where), "_key").select("_p", "_size", "_hash")
+    found = _cuts(known, rest)
+    cuts = {i: cut for i, (cut, _) in found.items()}
+    extra = spark.createDataFrame([(sums[i]["_key"], at, True) for i, at in _fill(known, found)], "_key string, _at long, _fills boolean")  # at most FILL rows for each pattern
     table = spark.createDataFrame(
         [
             (r["_key"], int(rounds[i]), cuts.get(i, -1), int(sizes.get(_first(r["_members"]), 0)), float(quota.get(_first(r["_members"]), 0.0)))
@@ -125,8 +135,8 @@ def mix(rows: DataFrame, members: Column, size: Column, key: Column, weights=WEI
         ],
         "_key string, _rounds long, _cut long, source_size long, target double",
     )  # one row for each pattern
-    again = (_order(_BITS * _LEVELS) <= F.col("_cut")).cast("long")
-    mixed = narrow.join(F.broadcast(table), "_key").withColumns({"size": F.col("_size"), "taken": (F.col("_rounds") + again) * F.col("_size")})
+    again = ((F.col("_at") <= F.col("_cut")) | F.coalesce("_fills", F.lit(False))).cast("long")
+    mixed = narrow.withColumn("_at", _order(_BITS * _LEVELS)).join(F.broadcast(table), "_key").join(F.broadcast(extra), ["_key", "_at"], "left").withColumns({"size": F.col("_size"), "taken": (F.col("_rounds") + again) * F.col("_size")})
     mine = ("size", "source_size", "target", "taken")
     return mixed.select(*[F.col("_row")[c].alias(c) for c in rows.columns if c not in mine], *mine)
 
@@ -140,8 +150,25 @@ def _order(bits: int) -> Column:
     return F.shiftrightunsigned(F.col("_hash"), 64 - bits)
 
 
-def _cuts(known: DataFrame, rest: dict[int, int]) -> dict[int, int]:
-    """Per pattern the last hash prefix to take so that sizes add up to `rest`, found digit by digit."""
+def _fill(known: DataFrame, found: dict[int, tuple[int, int]]) -> list[tuple[int, int]]:
+    """(pattern, hash prefix) of documents after the cut that take up what is left there: always the largest that still fits."""
+    open_ = [(i, cut, left) for i, (cut, left) in found.items() if left > 0]
+    if not open_:
+        return []
+    state = known.sparkSession.createDataFrame(open_, "_p int, _cut long, _left long")
+    units = known.select("_p", "_size", _order(_BITS * _LEVELS).alias("_at")).join(F.broadcast(state), "_p").where(F.col("_at") > F.col("_cut"))
+    units = units.groupBy("_p", "_at", "_left").agg(F.sum("_size").alias("n")).where("n > 0 AND n <= _left")
+    best = units.withColumn("_k", F.row_number().over(Window.partitionBy("_p").orderBy(F.desc("n"), "_at"))).where(F.col("_k") <= FILL)
+    left, out = {i: n for i, _, n in open_}, []
+    for r in sorted(best.collect(), key=lambda r: (r["_p"], r["_k"])):  # at most FILL rows for each pattern
+        if r["n"] <= left[r["_p"]]:
+            left[r["_p"]] -= r["n"]
+            out.append((r["_p"], r["_at"]))
+    return out
+
+
+def _cuts(known: DataFrame, rest: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """Per pattern the last hash prefix to take so that sizes add up to at most `rest`, found digit by digit, and what is left."""
     spark = known.sparkSession
     state = {i: (0, n) for i, n in rest.items() if n > 0}  # prefix of the digit's bucket, still to take
     for level in range(1, _LEVELS + 1):
@@ -166,9 +193,8 @@ def _cuts(known: DataFrame, rest: dict[int, int]) -> dict[int, int]:
                 last = (1 << bits, 0, 1)
             state[i] = (last[0], last[1])
             if level == _LEVELS:
-                # The document at the cut goes in when that comes nearer.
-                state[i] = (last[0] if 2 * last[1] > last[2] else last[0] - 1, 0)
-    return {i: p for i, (p, _) in state.items()}
+                state[i] = (last[0] - 1, last[1])
+    return state
 
 
 def documents_mix(docs: DataFrame, size: Column | None = None) -> DataFrame:

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import named
+
 _LOCAL = r"A-Za-z0-9._%+-"
 
 
@@ -154,7 +156,7 @@ def _spans(kind: Kind) -> Column:
 def find(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """The input's columns and `spans`: kind, start, end, score, by kind as listed, then start."""
     inner = [f"_{x}_{k.name}" for k in kinds for x in "mpetc"]
-    keep = [c for c in docs.columns if c not in ("spans", "_t", *inner)]
+    keep = [named(c) for c in docs.columns if c not in ("spans", "_t", *inner)]
     plain = docs.select(*keep).withColumn("_t", F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "\x01", "\x02"))
     proposed = plain.withColumns({n: c for k in kinds for n, c in _proposed(k, F.col("_t")).items()}).drop("_t")
     steps = lambda k: F.zip_with(F.col(f"_m_{k.name}"), F.slice(f"_p_{k.name}", 1, F.size(f"_m_{k.name}")), lambda m, p: F.length(m) + F.length(p))
@@ -201,4 +203,4 @@ def redact(docs: DataFrame, kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
         found, between = F.col(f"_m_{kind.name}"), F.col(f"_p_{kind.name}")
         parts = F.transform(F.arrays_zip(between.alias("p"), F.concat(found, F.array(F.lit(""))).alias("m"), F.col(f"_c_{kind.name}").alias("c")), _covered(kind))
         out = proposed.withColumn("text", F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(F.col("text"))).drop(*[f"_{x}_{kind.name}" for x in "mptc"])
-    return out.select(*docs.columns)
+    return out.select(*map(named, docs.columns))

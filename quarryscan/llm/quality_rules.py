@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SEP
+from .common import WORD_SEP, named
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -122,7 +122,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """The input's columns, the measurements, and `fail_bits` with one bit per rule."""
-    keep = [c for c in docs.columns if c not in (*MEASURES, "fail_bits", "_w", "_l", "_t", "_h", "_s")]
+    keep = [named(c) for c in docs.columns if c not in (*MEASURES, "fail_bits", "_w", "_l", "_t", "_h", "_s")]
     bits = F.lit(0).cast("long")
     for rule in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(rule.bit()).cast("long")).otherwise(F.lit(0).cast("long")))
