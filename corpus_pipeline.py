@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is stored as Parquet and read again as the next
 stage's docs. All but the last return the columns of documents. Near duplicates are found by row, not by id; rows equal in
-every column count once.
+every column count once. Null texts are empty documents, of which the quality rules keep none; empty tables stay empty; further
+columns, of any type and name, are carried along.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryscan.llm import mixing, ngram_join, packing, pii, quality_rules
-from quarryscan.llm.common import Scratch, table
+from quarryscan.llm.common import Scratch, named, row_hash, table
 
 #: Packing and the Jaccard join are not expressible in SQL; tests hold run() and near-duplicate removal against brute force.
 ORACLE_SQL = None
@@ -23,8 +24,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component the row with the smallest id stays, then the smallest hash of the text; rows without an id come last."""
-    key = F.xxhash64(*[x for c in docs.columns for x in (F.col(c).isNull(), F.col(c))])
-    keyed = docs.select(F.struct("*").alias("_row"), key.alias("_key"), F.col("doc_id"), F.col("text"))
+    keyed = docs.select(F.struct("*").alias("_row"), row_hash(docs).alias("_key"), F.col("doc_id"), F.col("text"))
     found = ngram_join.join(keyed.select(F.col("_key").alias("doc_id"), "text")).groupBy(F.col("doc_id").alias("_key")).agg(F.min("component_id").alias("component_id"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "_key")
     stays = keyed.select("_key", order.alias("_order")).distinct().join(found, "_key").groupBy("component_id").agg(F.min("_order").alias("_first")).select(F.col("_first._key").alias("_key"))
@@ -33,7 +33,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = pii.redact(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*map(named, docs.columns)) if "n_chars" in docs.columns else out
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
