@@ -5,11 +5,12 @@ Only files written by hand in a programming language count (`eligible`). Lines a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import files as shapes
+from . import scans
 
 # Lines of a block, lines of a commented run, groups listed, lines an artifact's windows may cover.
 BLOCK, RUN, MOST_GROUPS, BUDGET = 8, 6, 10, 400_000
@@ -44,9 +45,8 @@ def blocks(files: DataFrame, size: int = BLOCK) -> DataFrame:
 
 def within_budget(files: DataFrame, most: int = BUDGET) -> DataFrame:
     """Files in order until an artifact's lines pass the budget."""
-    n = shapes.F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
-    before = F.sum("_n").over(Window.partitionBy("artifact_id").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1))
-    return files.withColumn("_n", n).withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most).drop("_n", "_before")
+    n = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
+    return scans.within_budget(files, ["artifact_id"], "file_ord", n, most)
 
 
 def block_groups(made: DataFrame) -> DataFrame:
@@ -88,6 +88,3 @@ def duplication_findings(files: DataFrame) -> DataFrame:
     commented = some(commented_runs(ours).withColumnRenamed("file_ord", "first_file"), "VC-DUP-003", "Code that is commented out", F.concat(F.col("n_lines").cast("string"), F.lit(" lines")), F.col("first_line"))
     return same.unionByName(repeated).unionByName(commented)
 
-
-def line_column(name: str = "text") -> Column:
-    return F.trim(name)

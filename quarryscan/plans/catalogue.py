@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarryscan.operators import files as O
 
-from . import finding_queries, fixture_queries, scan_queries, text_queries
+from . import finding_queries, fixture_queries, scan_queries, search_queries, text_queries
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +71,7 @@ ORACLE_SQL: dict[str, str] = {
   FROM (SELECT source AS artifact_id, sum(len)::BIGINT AS n, sum(CASE WHEN len // (len - length(replace(t, chr(10), '')) + 1) > {O.MINIFIED_LINE} THEN len ELSE 0 END)::BIGINT AS minified,
     count(*) AS considered, count(text) AS readable FROM (SELECT *, coalesce(text, '') AS t, length(coalesce(text, '')) AS len FROM documents) GROUP BY 1)""",
 }
-for _part in (text_queries, finding_queries, fixture_queries, scan_queries):
+for _part in (text_queries, finding_queries, fixture_queries, scan_queries, search_queries):
     QUERIES |= _part.QUERIES
     ORACLE_SQL |= _part.ORACLE_SQL
 FLAGSHIP = "scan_scores"

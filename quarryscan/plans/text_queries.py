@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from quarryscan.functions import paths as P
 from quarryscan.functions import text as T
 from quarryscan.operators import files as shapes
-from quarryscan.operators import redundancy, rules, scoring, triage
+from quarryscan.operators import redundancy, rules, scans, scoring, triage
 from quarryscan.operators.rulebook import BY_ID, CATEGORIES, RULES, Rule
 from quarryscan.sources import tree
 
@@ -190,8 +190,8 @@ def limitations(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dropped_by_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of every artifact within a running budget of characters."""
     listing = files(spark, sf_dir).select("artifact_id", "file_ord", F.length("content").alias("n"))
-    total = F.sum("n").over(Window.partitionBy("artifact_id").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, 0))
-    return listing.withColumn("t", total).groupBy("artifact_id").agg(F.sum((F.col("t") <= 50_000).cast("long")).alias("n_read"), F.count("*").alias("n_files"))
+    read = scans.within_budget(listing, ["artifact_id"], "file_ord", F.col("n"), 50_000, whole=True).groupBy("artifact_id").agg(F.count("*").alias("n_read"))
+    return listing.groupBy("artifact_id").agg(F.count("*").alias("n_files")).join(read, "artifact_id", "left").select("artifact_id", F.coalesce("n_read", F.lit(0)).alias("n_read"), "n_files")
 
 
 def sql_pattern(pattern: str) -> str:

@@ -13,9 +13,9 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.window import Window
 
 from quarryscan.functions import paths as P
+from quarryscan.operators import scans
 
 # Files, bytes of a file and bytes of all files that are read.
 MOST_FILES, MOST_BYTES, MOST_TOTAL = 20_000, 8 << 20, 256 << 20
@@ -82,8 +82,7 @@ def decoded(data: Column) -> Column:
 def candidates(listing: DataFrame) -> DataFrame:
     """Files worth reading, up to the budget of bytes in file order."""
     some = listing.where(P.is_candidate(F.col("path")) & (F.col("bytes") <= MOST_BYTES))
-    total = F.sum("bytes").over(Window.partitionBy("artifact_id").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, 0))
-    return some.withColumn("_t", total).where(F.col("_t") <= MOST_TOTAL).drop("_t")
+    return scans.within_budget(some, ["artifact_id"], "file_ord", F.col("bytes"), MOST_TOTAL, whole=True)
 
 
 def recovered(listing: DataFrame) -> DataFrame:
