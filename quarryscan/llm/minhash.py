@@ -37,6 +37,8 @@ BITS, SURE = 4, 6
 #: Shingles hashed together.
 TOGETHER = 1 << 19
 MINIMA = ROWS * BANDS
+#: Members of a bucket that all others meet in a round.
+CENTRES = 8
 #: Minima and low bits of the signature of sets that are paired with each other.
 FINE, FINE_BITS = 1024, 2
 
@@ -163,7 +165,7 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
     planes_of = signed_sets.join(wanted, "sid", "left_semi").groupBy("sid").agg(*[F.first(c).alias(c) for c in PLANES])
     open_sets = scratch.write(wanted_sets(one, wanted).join(planes_of, "sid"), "open")
     scratch.keep(ids, shared, open_sets)
-    found = classes(ids, settle(shared, open_sets, Sketch((*FINE_PLANES, *SHORT_COLUMNS), fine_signatures, _near, _bounded), scratch, percent), scratch)
+    found = classes(ids, settle(shared, open_sets, Sketch((*FINE_PLANES, *SHORT_COLUMNS), fine_signatures, _near, _bounded, CENTRES), scratch, percent), scratch)
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 

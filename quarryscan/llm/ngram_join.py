@@ -349,12 +349,13 @@ def _pair(a: str, b: str) -> list[Column]:
 class Sketch:
     """What rules a pair out before its sets are compared. of(open_sets, wanted): sid and the columns that near() needs of both, at least for the
     sets in wanted; near(p, q, percent): a condition on the members p and q of a tile (the struct s, and columns); bounded(pairs, open_sets, percent): the
-    pairs it leaves."""
+    pairs it leaves. centres: how many members of a tile the others meet in a round."""
 
     columns: tuple[str, ...]
     of: Callable[[DataFrame, DataFrame], DataFrame]
     near: Callable[[str, str, int], Column]
     bounded: Callable[[DataFrame, DataFrame, int], DataFrame]
+    centres: int = 1
 
 
 def short_overlap(p: str, q: str, percent: int) -> Column:
@@ -370,8 +371,9 @@ def settle(shared: DataFrame, open_sets: DataFrame, sketch: Sketch, scratch: Scr
     links = scratch.write(_verified(tested, open_sets, percent), "links")
     labels = components(links, scratch)
     # Tiles with members in different components: only pairs across them are still open. While these are many, the
-    # members outside a tile's largest component meet one member of it, another one in each round, first the one nearest to all.
-    last = None
+    # members outside a tile's largest component meet one member of it, another one in each round, first the one nearest to all;
+    # or, with several centres, all members meet those of other components. Copies of copies, each near its neighbours only, need these.
+    last = known = None
     for turn in range(ROUNDS + 1):
         left = scratch.write(_open(shared, labels), "left")
         best = F.struct(own_of("s") if turn == 0 else F.lit(0).alias("own"), F.xxhash64(F.lit(turn), "s.sid").alias("h"), "s")
@@ -379,19 +381,30 @@ def settle(shared: DataFrame, open_sets: DataFrame, sketch: Sketch, scratch: Scr
         tiles_left = parts.groupBy("x", "y").agg(F.sum("m").alias("rows"), F.sum(F.col("m") * F.col("m")).alias("same"), F.max(F.struct("m", "label", "c")).alias("c"))
         size_left = tiles_left.agg(F.sum("rows").alias("rows"), F.sum((F.col("rows") * F.col("rows") - F.col("same")) / 2).alias("pairs")).first()
         pairs = size_left["pairs"] or 0
-        if turn == ROUNDS or pairs <= LINEAR * (size_left["rows"] or 0) or (last is not None and pairs > 0.9 * last):
+        if turn == ROUNDS or pairs <= LINEAR * (size_left["rows"] or 0) or (sketch.centres == 1 and last is not None and pairs > 0.9 * last):
             break
         last = pairs
-        meet = left.join(tiles_left.select("x", "y", "c.label", "c.c").withColumnRenamed("label", "largest"), ["x", "y"]).where("label <> largest").where(_possible("s", "c.s", percent))
-        meet = meet.groupBy("s.sid").agg(F.min(F.struct("c.own", "c.h", F.col("c.s.sid").alias("with"))).alias("c")).select(*_pair("c.with", "sid")).distinct()
-        found = scratch.write(_verified(sketch.bounded(meet, open_sets, percent), open_sets, percent), "links")
+        if sketch.centres == 1:
+            meet = left.join(tiles_left.select("x", "y", "c.label", "c.c").withColumnRenamed("label", "largest"), ["x", "y"]).where("label <> largest").where(_possible("s", "c.s", percent))
+            meet = meet.groupBy("s.sid").agg(F.min(F.struct("c.own", "c.h", F.col("c.s.sid").alias("with"))).alias("c")).select(*_pair("c.with", "sid")).distinct()
+            meet = sketch.bounded(meet, open_sets, percent)
+        else:
+            if known is None:
+                known = scratch.write(sketch.of(open_sets, left.select("s.sid").distinct()), "known")
+            members = left.join(known, F.col("s.sid") == known["sid"]).select("x", "y", "s", "label", *sketch.columns)
+            order = Window.partitionBy("x", "y").orderBy(F.xxhash64(F.lit(turn), "s.sid"))
+            centre = members.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sketch.centres)
+            p, q = members.alias("p"), centre.alias("q")
+            apart = (F.col("p.label") != F.col("q.label")) & _possible("p.s", "q.s", percent) & sketch.near("p", "q", percent)
+            meet = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & apart).select(*_pair("p.s.sid", "q.s.sid")).distinct()
+        found = scratch.write(_verified(meet, open_sets, percent), "links")
         if found.isEmpty():
             break
         labels = _joined(labels, found, scratch)
         scratch.drop(left)
     # A pair is made in the first of its tiles only.
     mine = left.groupBy("s.sid").agg(F.collect_set("x").alias("all"))
-    mine = mine.join(sketch.of(open_sets, mine.select("sid")), "sid")
+    mine = mine.join(known if known is not None else sketch.of(open_sets, mine.select("sid")), "sid")
     before = left.join(mine, F.col("s.sid") == mine["sid"]).select("x", "y", "s", "label", F.filter("all", lambda t: t < F.col("x")).alias("before"), *sketch.columns)
     p, q = before.alias("p"), before.alias("q")
     across = (F.col("p.label") < F.col("q.label")) & _possible("p.s", "q.s", percent) & sketch.near("p", "q", percent) & ~F.arrays_overlap("p.before", "q.before")
