@@ -52,15 +52,60 @@ def affected_packages(parsed: DataFrame) -> DataFrame:
     return listed.unionByName(spans)
 
 
+def _ancestors(rank: Column, top: Column) -> Column:
+    """The nodes over a rank in a binary tree: (level, number) from the leaf up to the level `top`."""
+    return F.transform(F.sequence(F.lit(0), top), lambda level: F.struct(level.alias("level"), F.call_function("shiftright", rank, level).alias("node")))
+
+
+def _cover(low: Column, high: Column, top: Column) -> Column:
+    """The fewest nodes that together hold the ranks from low up to, not with, high: at most two of each level."""
+    size = lambda level: F.call_function("shiftleft", F.lit(1), level)
+    first = lambda level: F.call_function("shiftright", low + size(level) - 1, level)
+    end = lambda level: F.call_function("shiftright", high, level)
+    node = lambda level, number, fits: F.when(fits & (first(level) < end(level)), F.struct(level.alias("level"), number.alias("node")))
+    both = F.transform(F.sequence(F.lit(0), top), lambda level: F.array(node(level, first(level), first(level) % 2 == 1), node(level, end(level) - 1, end(level) % 2 == 1)))
+    return F.array_compact(F.flatten(both))
+
+
+def inside_ranges(points: DataFrame, ranges: DataFrame, group: list[str]) -> DataFrame:
+    """group, at, range: every point that lies in a range of its group. points: group, at; ranges: group, range, low (null: from the beginning), high (null: to the end; not in the range).
+
+    Distinct ends and points are numbered in each group; a range becomes the few nodes of a binary tree over the numbers that cover it, a point the nodes above
+    it, and both meet by equality. Every hit is made once and nothing else is: the cost follows the hits, not the ranges times the points. `at`, low and high
+    are of one orderable type; points without one are in no range; groups may not be null.
+    """
+    keys = points.where("at IS NOT NULL").select(*group, "at").distinct()
+    ends = ranges.select(*group, F.explode(F.array("low", "high")).alias("at")).where("at IS NOT NULL")
+    order = Window.partitionBy(*group).orderBy("at")  # distinct values of a group
+    ranked = keys.unionByName(ends).distinct().withColumn("rank", F.row_number().over(order) - 1)
+    sizes = ranked.groupBy(*group).agg((F.max("rank") + 1).alias("n")).withColumn("top", F.ceil(F.log2(F.col("n"))).cast("int"))
+    low, high = (ranked.select(*group, F.col("at").alias(c), F.col("rank").alias(f"{c}_rank")) for c in ("low", "high"))
+    placed = ranges.select(*group, "range", "low", "high").join(sizes, group).join(low, [*group, "low"], "left").join(high, [*group, "high"], "left")
+    spans = placed.select(*group, "range", F.explode(_cover(F.coalesce("low_rank", F.lit(0)), F.coalesce("high_rank", F.col("n")), F.col("top"))).alias("t"))
+    over = keys.join(ranked, [*group, "at"]).join(sizes, group).select(*group, "at", F.explode(_ancestors(F.col("rank"), F.col("top"))).alias("t"))
+    return over.join(spans, [*group, "t"]).select(*group, "at", "range").distinct()
+
+
 def lookup(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
-    """artifact_id, coordinate, id: dependencies that a list of versions names or that lie in a range. One equi-join by package."""
+    """artifact_id, coordinate, id: dependencies that a list of versions names or that lie in a range. Versions meet lists by equality and ranges by `inside_ranges`, each version of a package once."""
+    group = ["_e", "_n"]
     key = [F.lower("ecosystem").alias("_e"), F.lower("name").alias("_n")]
-    left = dependencies.select("artifact_id", "coordinate", "version", *key)
+    left = dependencies.select("artifact_id", "coordinate", "version", *key).where("_e IS NOT NULL AND _n IS NOT NULL")
     right = packages.select("id", "versions", "introduced", "fixed", *key)
-    at, low, high = (V.semver_key(F.col(c)) for c in ("version", "introduced", "fixed"))
-    inside = (F.col("introduced").isNull() | (F.col("introduced") == "0") | (at >= low)) & (F.col("fixed").isNull() | (at < high))
-    hit = F.coalesce(F.array_contains("versions", F.col("version")), F.lit(False)) | (F.col("versions").isNull() & F.coalesce(inside, F.lit(False)))
-    return left.join(right, ["_e", "_n"]).where(hit).select("artifact_id", "coordinate", "id").distinct()
+    listed = right.where("versions IS NOT NULL").select(*group, "id", F.explode("versions").alias("version")).distinct()
+    by_list = left.join(listed, [*group, "version"]).select("artifact_id", "coordinate", "id")
+    # Without a beginning, or from 0, a range begins with everything; an end that is no version ends it nowhere.
+    begins = F.when(F.col("introduced") != "0", V.semver_key(F.col("introduced")))
+    known = F.col("introduced").isNull() | (F.col("introduced") == "0") | begins.isNotNull()
+    ends = V.semver_key(F.col("fixed"))
+    spans = right.where("versions IS NULL").where(known & (F.col("fixed").isNull() | ends.isNotNull())).select(*group, F.col("id").alias("range"), begins.alias("low"), ends.alias("high")).distinct()
+    keyed = left.withColumn("at", V.semver_key(F.col("version")))
+    # A version that cannot be ordered is only in ranges without ends.
+    endless = spans.where("low IS NULL AND high IS NULL").select(*group, F.col("range").alias("id"))
+    odd = keyed.where("at IS NULL").join(endless, group).select("artifact_id", "coordinate", "id")
+    hit = inside_ranges(keyed.select(*group, "at"), spans, group)
+    by_range = keyed.join(hit, [*group, "at"]).select("artifact_id", "coordinate", F.col("range").alias("id"))
+    return by_list.union(by_range).union(odd).distinct()
 
 
 def with_details(found: DataFrame, parsed: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:

@@ -25,7 +25,7 @@ def sliced(rows: DataFrame, group: list[str], place: str, slice_rows: int = SLIC
         same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
     # Doubles are exact enough: a slice's number falls with its place, whatever the rounding.
     share = (F.col(place).cast("double") - F.col("_from").cast("double")) / (F.col("_to").cast("double") - F.col("_from").cast("double") + 1)
-    number = F.coalesce(F.least(F.floor(share * F.col("_n")), F.col("_n") - 1), F.lit(0))
+    number = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.col("_n")), F.col("_n") - 1)
     return rows.join(span, same).withColumn("_slice", number).drop("_from", "_to", "_n", *[f"_g_{g}" for g in group])
 
 
@@ -92,7 +92,7 @@ def progress(reports: DataFrame, looks: DataFrame, key: str, slice_rows: int = S
     asked = looks.select(F.col(key).alias("_key"), F.unix_micros(F.col("at").cast("timestamp")).alias("_at"), F.lit(1).alias("_look"), F.col("look_id").alias("_id"), "paced", F.lit(None).cast("int").alias("share"), F.lit(0).alias("_entry"))
     steps = flagged.select("_key", "_at", F.lit(0).alias("_look"), "_id", F.lit(None).cast("int").alias("paced"), F.col("share").cast("int").alias("share"), F.col("_entry").cast("int").alias("_entry"))
     timed = running(steps.union(asked), ["_key"], "_at", ["_look", "_id"], {"_furthest": ("max", F.col("share")), "_so_far": ("sum", F.col("_entry"))}, slice_rows).where("_look = 1")
-    seen = timed.withColumn("shown", F.coalesce(F.least(F.greatest(F.lit(0), F.least(F.lit(FULL), F.col("paced"))), "_furthest"), F.lit(0)))
+    seen = timed.withColumn("shown", F.when(F.col("_furthest").isNotNull(), F.least(F.greatest(F.lit(0), F.least(F.lit(FULL), F.col("paced"))), "_furthest")).otherwise(F.lit(0)))
     # By value: the last entry that counts from each of the FULL + 1 values or less.
     latest = entries.groupBy("_key", "_counts_from").agg(F.max("_no").alias("_no"))
     values = latest.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_counts_from").cast("int"), "_no"))).alias("_by"))  # at most FULL + 1 entries

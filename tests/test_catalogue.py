@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -15,8 +17,8 @@ def _rows(frame):
 @pytest.mark.parametrize("name", sorted(catalogue.QUERIES))
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations", "pages"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
+    for path in Path(DATA).glob("*.parquet"):
+        con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM '{path}'")
     want = con.sql(catalogue.ORACLE_SQL[name])
     columns = sorted(want.columns)
     got = catalogue.QUERIES[name](spark, DATA)
