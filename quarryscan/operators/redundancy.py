@@ -50,16 +50,21 @@ def within_budget(files: DataFrame, most: int = BUDGET) -> DataFrame:
 
 
 def block_groups(made: DataFrame) -> DataFrame:
-    """artifact_id, block_sha256, n_occurrences, n_files, first_file, first_line: blocks that occur more than once."""
-    place = F.struct("file_ord", "line_no")
-    rows = made.groupBy("artifact_id", "block_sha256").agg(F.count("*").alias("n_occurrences"), F.countDistinct("file_ord").alias("n_files"), F.min(place).alias("p"), F.array_sort(F.collect_set("file_ord")).alias("files"))
-    return rows.where("n_occurrences > 1").select("artifact_id", "block_sha256", "n_occurrences", "n_files", F.col("p.file_ord").alias("first_file"), F.col("p.line_no").alias("first_line"), "files")
+    """artifact_id, block_sha256, n_occurrences, n_files, first_file, first_line, set_a, set_b: blocks that occur more than once.
+
+    set_a, set_b and n_files tell sets of files apart: exclusive ors of two hashes of each file, which merge part by part, so that no list of files is
+    made. A block in very many files is first counted in each of them, then summed.
+    """
+    in_file = made.groupBy("artifact_id", "block_sha256", "file_ord").agg(F.count("*").alias("n"), F.min("line_no").alias("line_no"))
+    sign = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "file_ord"))
+    rows = in_file.groupBy("artifact_id", "block_sha256").agg(F.sum("n").alias("n_occurrences"), F.count("*").alias("n_files"), F.min(F.struct("file_ord", "line_no")).alias("p"), sign(1).alias("set_a"), sign(2).alias("set_b"))
+    return rows.where("n_occurrences > 1").select("artifact_id", "block_sha256", "n_occurrences", "n_files", F.col("p.file_ord").alias("first_file"), F.col("p.line_no").alias("first_line"), "set_a", "set_b")
 
 
 def repeated_blocks(files: DataFrame) -> DataFrame:
     """DUP-002: per artifact one block for each set of files (the one with most occurrences), the ten largest groups."""
     groups = block_groups(blocks(within_budget(files)))
-    of_set = Window.partitionBy("artifact_id", "files").orderBy(F.desc("n_occurrences"), "first_file", "first_line", "block_sha256")
+    of_set = Window.partitionBy("artifact_id", "n_files", "set_a", "set_b").orderBy(F.desc("n_occurrences"), "first_file", "first_line", "block_sha256")
     one = groups.withColumn("_n", F.row_number().over(of_set)).where("_n = 1").drop("_n")
     order = Window.partitionBy("artifact_id").orderBy(F.desc("n_occurrences"), "first_file", "first_line", "block_sha256")
     return one.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= MOST_GROUPS)

@@ -126,7 +126,7 @@ def excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def duplicate_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of eight significant lines that occur more than once in an artifact."""
-    return redundancy.block_groups(redundancy.blocks(files(spark, sf_dir))).drop("files")
+    return redundancy.block_groups(redundancy.blocks(files(spark, sf_dir))).drop("set_a", "set_b")
 
 
 def repeated_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,3 +25,24 @@ def test_the_ten_largest_groups_are_listed_and_all_counted(spark):
 def test_shares_in_percent(spark):
     rows = _files(spark, ["m" * 300, "n\n" * 50, "", "?"])
     assert [tuple(r) for r in files.shares(files.shape(rows)).collect()] == [("a", 75, 75)]
+
+
+def test_groups_by_sets_of_files(spark):
+    """Blocks of the same files are one group, whatever their number of occurrences; sets are told apart as sets are in Python."""
+    import random
+
+    from quarryscan.operators import redundancy
+
+    rng = random.Random(7)
+    rows = [("a" if rng.random() < 0.8 else None, f"h{rng.randrange(25)}", rng.randrange(6), rng.randrange(1, 50)) for _ in range(220)]
+    got = redundancy.block_groups(spark.createDataFrame(rows, "artifact_id string, block_sha256 string, file_ord int, line_no int")).collect()
+    want = {}
+    for a, h, f, line in rows:
+        want.setdefault((a, h), []).append((f, line))
+    assert {(r["artifact_id"], r["block_sha256"]): (r["n_occurrences"], r["n_files"], r["first_file"], r["first_line"]) for r in got} == {
+        k: (len(v), len({f for f, _ in v}), *min(v)) for k, v in want.items() if len(v) > 1
+    }
+    of = {(r["artifact_id"], r["block_sha256"]): (r["n_files"], r["set_a"], r["set_b"]) for r in got}
+    for k in of:
+        for m in of:
+            assert (of[k] == of[m]) == ({f for f, _ in want[k]} == {f for f, _ in want[m]})
