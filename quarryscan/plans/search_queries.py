@@ -51,6 +51,15 @@ def budget_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.within_budget(rows, ["artifact_id"], "file_ord", F.col("n"), BUDGET, slice_rows=100).select("file_ord", "n")
 
 
+def quoted_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line of every document, and what follows it while a bracket is open. Texts get brackets for two pairs of letters, and bare lines between theirs."""
+    text = F.replace(F.replace(F.replace(F.col("content"), F.lit("th"), F.lit("(")), F.lit("an"), F.lit(")")), F.lit("\n"), F.lit("\n});\n/// <p>\n"))
+    made = files(spark, sf_dir).withColumn("content", text)
+    n = F.size(F.split("content", "\n", -1))
+    found = made.select("artifact_id", "file_ord", "path", (F.col("file_ord") % n + 1).cast("int").alias("found_line"))
+    return triage.quoted(found.where("artifact_id IS NOT NULL"), made).select("file_ord", "found_line", "excerpt")
+
+
 _NORMAL = "trim(regexp_replace(lower({0}), '[\\s/*#<>!-]+', ' ', 'g'))"
 
 
@@ -64,7 +73,22 @@ def _progress_sql(key: str) -> str:
   SELECT b.run, look_id, shown::INT AS shown, n.message FROM b LEFT JOIN n ON n.run = b.run AND so_far > 0 AND n.no = greatest(1, least(so_far, coalesce(last, 1)))"""
 
 
-QUERIES = {f.__name__: f for f in (name_holders, quotation_places, progress_by_user, progress_of_one, budget_of_one)}
+_PUNCT, _TAG, _BLANK = "regexp_matches(l[{0}], '^\\s*[{{}}()\\[\\];,]+\\s*$')", "regexp_matches(l[{0}], '^\\s*(///|//|\\*)\\s*</?[A-Za-z][A-Za-z0-9]*(\\s+[^<>]*)?/?>\\s*$')", "regexp_matches(l[{0}], '^\\s*$')"
+_OPEN = "(length(regexp_replace({0}, '[^(\\[]', '', 'g')) - length(regexp_replace({0}, '[^)\\]]', '', 'g')))"
+
+
+def _statements_sql() -> str:
+    rows = f"(SELECT file_ord, (file_ord % len(l) + 1)::INT AS found_line, (file_ord % len(l) + 1)::INT AS i, l FROM (SELECT file_ord, string_split(replace(replace(replace(content, 'th', '('), 'an', ')'), chr(10), chr(10) || '}});' || chr(10) || '/// <p>' || chr(10)), chr(10)) AS l FROM {FILES} WHERE artifact_id IS NOT NULL))"
+    for _ in range(triage.NEAR):
+        rows = f"(SELECT file_ord, found_line, CASE WHEN i > 1 AND {_PUNCT.format('i')} THEN i - 1 ELSE i END AS i, l FROM {rows})"
+    for _ in range(triage.NEAR):
+        rows = f"(SELECT file_ord, found_line, CASE WHEN i < len(l) AND {_TAG.format('i')} THEN i + 1 ELSE i END AS i, l FROM {rows})"
+    one, two = _OPEN.format("l[i]"), _OPEN.format("coalesce(l[i + 1], '')")
+    taken = f"CASE WHEN {one} <= 0 THEN 1 WHEN {one} + {two} <= 0 THEN 2 ELSE 3 END"
+    return f"""SELECT file_ord, found_line, CASE WHEN NOT ({_BLANK.format('found_line')} OR {_BLANK.format('i')} OR {_PUNCT.format('i')} OR {_TAG.format('i')}) THEN regexp_replace(array_to_string(l[i:i + ({taken}) - 1], chr(10)), '\\s+$', '') END AS excerpt FROM {rows}"""
+
+
+QUERIES = {f.__name__: f for f in (name_holders, quotation_places, progress_by_user, progress_of_one, budget_of_one, quoted_statements)}
 ORACLE_SQL = {
     "name_holders": f"""WITH n AS (SELECT DISTINCT 'src' || (item_id % 20) AS artifact_id, unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')[1:{NAMES}]) AS name FROM benchmark)
   SELECT DISTINCT f.artifact_id, f.file_ord, n.name FROM n JOIN {FILES} f ON f.artifact_id = n.artifact_id AND contains(f.content, n.name)""",
@@ -74,5 +98,6 @@ ORACLE_SQL = {
   SELECT quote_id, file_ord, (list_sum(list_transform(p[1:k], lambda x: length(x))) + (k - 1) * n)::BIGINT AS start FROM (SELECT *, unnest(range(1, len(p))) AS k FROM m)""",
     "progress_by_user": _progress_sql("user_id"),
     "progress_of_one": _progress_sql("(CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END)"),
+    "quoted_statements": _statements_sql(),
     "budget_of_one": f"SELECT file_ord, n::INT AS n FROM (SELECT file_ord, length(content) AS n, sum(length(content)) OVER (ORDER BY file_ord) AS t FROM {FILES}) WHERE t - n < {BUDGET}",
 }

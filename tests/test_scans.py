@@ -115,3 +115,41 @@ def test_ranges_by_all_pairs(spark):
     got = advisories.inside_ranges(spark.createDataFrame(points, "g string, at int"), spark.createDataFrame(ranges, "g string, range int, low int, high int"), ["g"]).collect()
     want = {(g, x, i) for g, x in points if x is not None for h, i, low, high in ranges if g == h and (low is None or x >= low) and (high is None or x < high)}
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 80
+
+
+def _statement(lines, index, most=3, near=3):
+    """By a walk over the lines."""
+    import re
+
+    bare = lambda x: re.fullmatch(r"\s*[{}()\[\];,]+\s*", x)
+    tag = lambda x: re.fullmatch(r"\s*(///|//|\*)\s*</?[A-Za-z][A-Za-z0-9]*(\s+[^<>]*)?/?>\s*", x)
+    balance = lambda x: sum((c in "([") - (c in ")]") for c in x)
+    if not lines[index].strip():
+        return None
+    for _ in range(near):
+        if index > 0 and bare(lines[index]):
+            index -= 1
+    for _ in range(near):
+        if index < len(lines) - 1 and tag(lines[index]):
+            index += 1
+    if not lines[index].strip() or bare(lines[index]) or tag(lines[index]):
+        return None
+    taken, depth = [lines[index]], balance(lines[index])
+    for x in lines[index + 1 :]:
+        if depth <= 0 or len(taken) == most:
+            break
+        taken.append(x)
+        depth += balance(x)
+    return "\n".join(taken).rstrip()
+
+
+def test_statements_by_a_walk(spark):
+    rng = random.Random(8)
+    pieces = ["call(a,", "b[1", "]);", "{", "});", "/// <summary>", "* <p/>", "x = 1;", "", "  ", "f(g(", "))"]
+    rows = []
+    for i in range(150):
+        lines = [rng.choice(pieces) for _ in range(rng.randrange(1, 9))]
+        rows.append((i, lines, rng.randrange(len(lines))))
+    frame = spark.createDataFrame(rows, "i int, lines array<string>, at int")
+    got = {r["i"]: r["s"] for r in frame.select("i", triage.statement(F.col("lines"), F.col("at")).alias("s")).collect()}
+    assert got == {i: _statement(lines, at) for i, lines, at in rows}
