@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryscan.functions import variants
 from quarryscan.operators import anchors, scans, triage
 
 from .common import FILES, files, table
@@ -60,6 +61,15 @@ def quoted_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.quoted(found.where("artifact_id IS NOT NULL"), made).select("file_ord", "found_line", "excerpt")
 
 
+def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties of events by name and type; every tenth text is broken, others are no object or hold further types."""
+    i = F.col("event_id") % 10
+    more = lambda x: F.replace("props", F.lit("}"), F.lit(x))
+    text = F.when(i == 0, '{"k": ').when(i == 1, "[1, 2]").when(i == 2, more(', "tags": ["a"], "on": true}')).when(i == 3, more(', "name": "x", "n": null}')).when(i == 4, '{"k": {"deep": 1.5}, "r": 2.5}').otherwise(F.col("props"))
+    found = variants.properties(table(spark, sf_dir, "events").select("event_id", text.alias("text")), F.col("text"))
+    return found.groupBy("name", "kind", "note").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
+
+
 _NORMAL = "trim(regexp_replace(lower({0}), '[\\s/*#<>!-]+', ' ', 'g'))"
 
 
@@ -88,7 +98,7 @@ def _statements_sql() -> str:
     return f"""SELECT file_ord, found_line, CASE WHEN NOT ({_BLANK.format('found_line')} OR {_BLANK.format('i')} OR {_PUNCT.format('i')} OR {_TAG.format('i')}) THEN regexp_replace(array_to_string(l[i:i + ({taken}) - 1], chr(10)), '\\s+$', '') END AS excerpt FROM {rows}"""
 
 
-QUERIES = {f.__name__: f for f in (name_holders, quotation_places, progress_by_user, progress_of_one, budget_of_one, quoted_statements)}
+QUERIES = {f.__name__: f for f in (name_holders, quotation_places, progress_by_user, progress_of_one, budget_of_one, quoted_statements, event_properties)}
 ORACLE_SQL = {
     "name_holders": f"""WITH n AS (SELECT DISTINCT 'src' || (item_id % 20) AS artifact_id, unnest(regexp_extract_all(text, '[A-Za-z]{{6,}}')[1:{NAMES}]) AS name FROM benchmark)
   SELECT DISTINCT f.artifact_id, f.file_ord, n.name FROM n JOIN {FILES} f ON f.artifact_id = n.artifact_id AND contains(f.content, n.name)""",
@@ -99,5 +109,12 @@ ORACLE_SQL = {
     "progress_by_user": _progress_sql("user_id"),
     "progress_of_one": _progress_sql("(CASE WHEN user_id % 2 = 0 THEN 0 ELSE user_id END)"),
     "quoted_statements": _statements_sql(),
+    "event_properties": """WITH t AS (SELECT event_id, CASE event_id % 10 WHEN 0 THEN '{"k": ' WHEN 1 THEN '[1, 2]' WHEN 2 THEN replace(props, '}', ', "tags": ["a"], "on": true}') WHEN 3 THEN replace(props, '}', ', "name": "x", "n": null}')
+    WHEN 4 THEN '{"k": {"deep": 1.5}, "r": 2.5}' ELSE props END AS text FROM events),
+  j AS (SELECT event_id, CASE WHEN json_valid(text) THEN text::JSON END AS j FROM t WHERE text IS NOT NULL),
+  p AS (SELECT event_id, j, unnest(json_keys(j)) AS name FROM j WHERE json_type(j) = 'OBJECT'),
+  k AS (SELECT event_id, name, CASE json_type(j->name) WHEN 'VARCHAR' THEN 'text' WHEN 'BOOLEAN' THEN 'truth' WHEN 'NULL' THEN 'nothing' WHEN 'ARRAY' THEN 'list' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS kind, NULL AS note FROM p
+    UNION ALL SELECT event_id, NULL, NULL, CASE WHEN j IS NULL THEN 'could not be read' ELSE 'not an object' END FROM j WHERE j IS NULL OR json_type(j) <> 'OBJECT')
+  SELECT name, kind, note, count(*) AS n, min(event_id) AS first_event FROM k GROUP BY 1, 2, 3""",
     "budget_of_one": f"SELECT file_ord, n::INT AS n FROM (SELECT file_ord, length(content) AS n, sum(length(content)) OVER (ORDER BY file_ord) AS t FROM {FILES}) WHERE t - n < {BUDGET}",
 }

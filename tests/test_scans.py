@@ -153,3 +153,22 @@ def test_statements_by_a_walk(spark):
     frame = spark.createDataFrame(rows, "i int, lines array<string>, at int")
     got = {r["i"]: r["s"] for r in frame.select("i", triage.statement(F.col("lines"), F.col("at")).alias("s")).collect()}
     assert got == {i: _statement(lines, at) for i, lines, at in rows}
+
+
+def test_properties_by_json(spark):
+    import json
+
+    from quarryscan.functions import variants
+
+    texts = [None, "", "{", "7", "[]", "{}", '{"a": 1, "b": "x", "c": [1], "d": {"e": null}}', '{"a": null, "z": 1.5, "t": false}', '{"a": 1e300}']
+    kinds = {int: "number", float: "number", str: "text", bool: "truth", type(None): "nothing", list: "list", dict: "object"}
+    want = []
+    for i, t in enumerate(texts):
+        try:
+            value = json.loads(t) if t is not None else {}
+        except ValueError:
+            want.append((i, None, None, variants.UNREADABLE))
+            continue
+        want += [(i, k, kinds[type(v)], None) for k, v in value.items()] if isinstance(value, dict) else [(i, None, None, variants.NO_OBJECT)]
+    got = variants.properties(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), F.col("t")).select("i", "name", "kind", "note").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
