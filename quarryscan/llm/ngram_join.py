@@ -44,6 +44,8 @@ FEW, SLOTS = 64, 1 << 18
 BAND_STEPS = 3
 #: At most so many rounds of linking to large components; pairs left per tile row that end them (as does a round that leaves nine tenths).
 ROUNDS, LINEAR = 6, 2
+#: A round with several centres that finds one link for so many tile rows, or fewer, is the last.
+FEW_LINKS = 1000
 #: Numbers of a short bitmap, which pairs of a tile are held against before they are made.
 SHORT = 8
 SHORT_COLUMNS = tuple(f"g{i}" for i in range(SHORT))
@@ -398,9 +400,13 @@ def settle(shared: DataFrame, open_sets: DataFrame, sketch: Sketch, scratch: Scr
             apart = (F.col("p.label") != F.col("q.label")) & _possible("p.s", "q.s", percent) & sketch.near("p", "q", percent)
             meet = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & apart).select(*_pair("p.s.sid", "q.s.sid")).distinct()
         found = scratch.write(_verified(meet, open_sets, percent), "links")
-        if found.isEmpty():
+        n_found = found.count()
+        if n_found == 0:
             break
         labels = _joined(labels, found, scratch)
+        if sketch.centres > 1 and n_found * FEW_LINKS < size_left["rows"]:
+            left = scratch.write(_open(shared, labels), "left")
+            break
         scratch.drop(left)
     # A pair is made in the first of its tiles only.
     mine = left.groupBy("s.sid").agg(F.collect_set("x").alias("all"))
