@@ -58,6 +58,38 @@ def scores(findings: DataFrame) -> DataFrame:
     return rows.select("artifact_id", dev.alias("developer_score"), user.alias("user_score"), F.least(dev, user).alias("score"))
 
 
+_AUDIENCES = (("dev", "severity"), ("user", "user_severity"))
+_COUNTS = [f"{name}_{i}" for name, _ in _AUDIENCES for i in range(len(WEIGHTS))]
+
+
+def states(findings: DataFrame, sign: int = 1) -> DataFrame:
+    """artifact_id and the number of findings of rules by severity and audience: all that a score needs, and a sum in each part.
+
+    States of parts merge to the state of the whole, and with `sign` -1 findings are taken out again: the worst severity is the highest with a count, so
+    withdrawals need no second look at what stays.
+    """
+    ours = F.col("source") == "Rule"
+    count = lambda c, i: F.sum(F.when(ours & (F.col(c) == i), sign).otherwise(0))
+    return findings.groupBy("artifact_id").agg(*[count(c, i).cast("long").alias(f"{name}_{i}") for name, c in _AUDIENCES for i in range(len(WEIGHTS))])
+
+
+def merged(*parts: DataFrame) -> DataFrame:
+    """The sum of states; an artifact of which nothing is left stays, with zeros."""
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("artifact_id").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def scores_of(stored: DataFrame) -> DataFrame:
+    """artifact_id, developer_score, user_score, score, from states; 100 where nothing is left."""
+    out = []
+    for name, _ in _AUDIENCES:
+        worst = F.coalesce(*[F.when(F.col(f"{name}_{i}") > 0, F.lit(i)) for i in reversed(range(len(WEIGHTS)))])
+        out.append(score_of(worst, sum((F.col(f"{name}_{i}") * w for i, w in enumerate(WEIGHTS)), F.lit(0))))
+    return stored.select("artifact_id", out[0].alias("developer_score"), out[1].alias("user_score"), F.least(*out).alias("score"))
+
+
 def band(score: Column) -> Column:
     return F.when(score <= 39, "CriticalIssues").when(score <= 69, "SeriousIssues").when(score <= 89, "NeedsWork").otherwise("NoKnownIssues")
 

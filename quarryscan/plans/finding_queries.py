@@ -97,6 +97,15 @@ def triage_top40(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.triage(files(spark, sf_dir), known).select("artifact_id", "file_ord", "tier", "n_known", "place", "n_qualified")
 
 
+def scores_after_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores after findings came and others went, from stored states and the changes alone."""
+    every = findings(spark, sf_dir)
+    i = F.col("file_ord")
+    stored = scoring.states(every.where(i % 5 > 0))
+    arrived, gone = every.where(i % 5 == 0), every.where((i % 5 > 0) & ((i % 7 == 3) | (F.col("severity") == 4) & (i % 2 == 0)))
+    return scoring.scores_of(scoring.merged(stored, scoring.states(arrived), scoring.states(gone, -1)))
+
+
 _WEIGHT = "CASE {0} WHEN 4 THEN 40 WHEN 3 THEN 20 WHEN 2 THEN 8 WHEN 1 THEN 3 ELSE 0 END"
 
 
@@ -139,12 +148,14 @@ def _triage_sql() -> str:
 
 QUERIES = {f.__name__: f for f in (
     test_file_softening, dedup_region, finding_order, score_by_artifact, verdict_bands, category_scores, weak_categories, severity_pivot,
-    purpose_split, over_declaration, reconsidered_scores, questions, sharing_labels, rule_families, triage_top40,
+    purpose_split, over_declaration, reconsidered_scores, questions, sharing_labels, rule_families, triage_top40, scores_after_changes,
 )}
 ORACLE_SQL = {
     "test_file_softening": f"SELECT file_ord, CASE WHEN {_TEST} THEN severity - 1 ELSE severity END AS severity, is_blocking AND NOT {_TEST} AS is_blocking, {_TEST} AS softened FROM {FINDINGS}",
     "dedup_region": f"SELECT artifact_id, rule_id, line, col, file_ord FROM {FINDINGS} QUALIFY row_number() OVER (PARTITION BY artifact_id, rule_id, line, (col - 1) // 200 ORDER BY col, file_ord) = 1",
     "finding_order": f"SELECT artifact_id, file_ord, row_number() OVER (PARTITION BY artifact_id ORDER BY severity DESC, category_ord, rule_id, path, line, col, file_ord) AS place FROM {FINDINGS}",
+    "scores_after_changes": f"""SELECT a.artifact_id, coalesce({_D}, 100) AS developer_score, coalesce({_U}, 100) AS user_score, least(coalesce({_D}, 100), coalesce({_U}, 100)) AS score FROM (SELECT DISTINCT artifact_id FROM {FINDINGS}) a
+  LEFT JOIN {_readings(f'(SELECT * FROM {FINDINGS} WHERE file_ord % 5 = 0 OR NOT (file_ord % 7 = 3 OR (severity = 4 AND file_ord % 2 = 0)))', 'artifact_id')} r ON r.artifact_id IS NOT DISTINCT FROM a.artifact_id""",
     "score_by_artifact": f"SELECT artifact_id, {_D} AS developer_score, {_U} AS user_score, least({_D}, {_U}) AS score FROM {_readings(FINDINGS, 'artifact_id')}",
     "verdict_bands": f"""WITH r AS (SELECT *, {_D} AS d, {_U} AS u FROM {_readings(FINDINGS, 'artifact_id')}),
   b AS (SELECT artifact_id, title, min((-severity, category_ord, rule_id, title)) AS k FROM {FINDINGS} WHERE is_blocking AND source = 'Rule' GROUP BY 1, 2),

@@ -46,3 +46,22 @@ def test_groups_by_sets_of_files(spark):
     for k in of:
         for m in of:
             assert (of[k] == of[m]) == ({f for f, _ in want[k]} == {f for f, _ in want[m]})
+
+
+def test_states_after_any_changes_are_those_of_what_is_left(spark):
+    """Inserts and withdrawals in any order against scores over the findings that are left."""
+    import random
+
+    from quarryscan.operators import scoring
+
+    rng = random.Random(9)
+    rows = [(rng.choice("abc"), i, rng.randrange(5), rng.randrange(5), rng.choice(["Rule", "Rule", "Assisted"])) for i in range(120)]
+    frame = spark.createDataFrame(rows, "artifact_id string, id int, severity int, user_severity int, source string")
+    gone = {i for i in range(120) if rng.random() < 0.6 or rows[i][2] == 4 or rows[i][0] == "c"}
+    stored = scoring.states(frame.where("id < 50"))
+    for a, b in ((50, 80), (80, 120)):
+        stored = scoring.merged(scoring.states(frame.where(f"id >= {a} AND id < {b}")), stored)
+    left = scoring.merged(stored, scoring.states(frame.where(frame["id"].isin(*gone)), -1))
+    got = {r["artifact_id"]: tuple(r)[1:] for r in scoring.scores_of(left).collect()}
+    want = {r["artifact_id"]: (r["developer_score"], r["user_score"], r["score"]) for r in scoring.scores(frame.where(~frame["id"].isin(*gone))).collect()}
+    assert got == {"c": (100, 100, 100)} | want
