@@ -86,8 +86,11 @@ def inside_ranges(points: DataFrame, ranges: DataFrame, group: list[str]) -> Dat
     return over.join(spans, [*group, "t"]).select(*group, "at", "range").distinct()
 
 
-def lookup(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
-    """artifact_id, coordinate, id: dependencies that a list of versions names or that lie in a range. Versions meet lists by equality and ranges by `inside_ranges`, each version of a package once."""
+def lookup_in_order(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
+    """artifact_id, coordinate, id: dependencies that a list of versions names or that lie in a range. Versions meet lists by equality and ranges by `inside_ranges`, each version of a package once.
+
+    For packages with many versions and ranges. It reads both sides several times, so store them first when they are dear to make; `lookup` reads them once.
+    """
     group = ["_e", "_n"]
     key = [F.lower("ecosystem").alias("_e"), F.lower("name").alias("_n")]
     left = dependencies.select("artifact_id", "coordinate", "version", *key).where("_e IS NOT NULL AND _n IS NOT NULL")
@@ -108,6 +111,17 @@ def lookup(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
     return by_list.union(by_range).union(odd).distinct()
 
 
+def lookup(dependencies: DataFrame, packages: DataFrame) -> DataFrame:
+    """artifact_id, coordinate, id: dependencies that a list of versions names or that lie in a range. One equi-join by package, in which all its versions meet all its ranges."""
+    key = [F.lower("ecosystem").alias("_e"), F.lower("name").alias("_n")]
+    left = dependencies.select("artifact_id", "coordinate", "version", *key)
+    right = packages.select("id", "versions", "introduced", "fixed", *key)
+    at, low, high = (V.semver_key(F.col(c)) for c in ("version", "introduced", "fixed"))
+    inside = (F.col("introduced").isNull() | (F.col("introduced") == "0") | (at >= low)) & (F.col("fixed").isNull() | (at < high))
+    hit = F.coalesce(F.array_contains("versions", F.col("version")), F.lit(False)) | (F.col("versions").isNull() & F.coalesce(inside, F.lit(False)))
+    return left.join(right, ["_e", "_n"]).where(hit).select("artifact_id", "coordinate", "id").distinct()
+
+
 def with_details(found: DataFrame, parsed: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Pairs with their advisory (ids without regard to case), and the ids that have none as notes."""
     named = found.withColumn("_id", F.lower("id"))

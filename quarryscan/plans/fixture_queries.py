@@ -148,7 +148,7 @@ def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("k")
     version = F.concat(_dotted(k % 11, F.col("p_size") % 7, k % 3), F.when(k % 17 == 0, "-rc.1").otherwise(""))
     deps = _parts(spark, sf_dir).select(F.col("p_brand").alias("artifact_id"), F.when(k % 4 < 2, "npm").otherwise("PyPI").alias("ecosystem"), F.concat(F.lit("pkg"), (k % 25).cast("string")).alias("name"), version.alias("version"))
-    return advisories.with_details(advisories.lookup(deps.withColumn("coordinate", dependencies.coordinate()), advisories.affected_packages(parsed)), parsed)[0]
+    return advisories.with_details(advisories.lookup_in_order(deps.withColumn("coordinate", dependencies.coordinate()), advisories.affected_packages(parsed)), parsed)[0]
 
 
 def vulnerable_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
