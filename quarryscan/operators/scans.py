@@ -77,12 +77,12 @@ def within_budget(rows: DataFrame, group: list[str], place: str, size: Column, m
     return rows.join(kept, same, "left_semi")
 
 
-def progress(reports: DataFrame, looks: DataFrame, key: str, slice_rows: int = SLICE) -> DataFrame:
+def progress(reports: DataFrame, looks: DataFrame, key: str, slice_rows: int = SLICE, unreported: Column | None = None) -> DataFrame:
     """key, look_id, shown, message: what to show at each look. reports: key, at (timestamp), report_id, share and start (0 to FULL), message; looks: key, at, look_id, paced (0 to FULL).
 
     shown is the lower of `paced` and the greatest share reported up to then (at the look's own time too), so it never goes back by what is reported. A report is an entry
     where its message differs from the report's before; it counts from the greatest start of the entries down to it. The message is that of the last
-    entry up to then which counts from `shown` or less, the first one if none does. Before the first report there is 0 and no message.
+    entry up to then which counts from `shown` or less, the first one if none does. Before the first report there is 0, or `unreported` over the look's columns, and no message.
     Reports and looks without a time, and null messages (as the empty one), are reports and looks at the beginning and messages like any other; keys may be null.
     """
     told = reports.select(F.col(key).alias("_key"), F.unix_micros(F.col("at").cast("timestamp")).alias("_at"), F.col("report_id").alias("_id"), "share", "start", F.coalesce("message", F.lit("")).alias("message"))
@@ -92,12 +92,11 @@ def progress(reports: DataFrame, looks: DataFrame, key: str, slice_rows: int = S
     asked = looks.select(F.col(key).alias("_key"), F.unix_micros(F.col("at").cast("timestamp")).alias("_at"), F.lit(1).alias("_look"), F.col("look_id").alias("_id"), "paced", F.lit(None).cast("int").alias("share"), F.lit(0).alias("_entry"))
     steps = flagged.select("_key", "_at", F.lit(0).alias("_look"), "_id", F.lit(None).cast("int").alias("paced"), F.col("share").cast("int").alias("share"), F.col("_entry").cast("int").alias("_entry"))
     timed = running(steps.union(asked), ["_key"], "_at", ["_look", "_id"], {"_furthest": ("max", F.col("share")), "_so_far": ("sum", F.col("_entry"))}, slice_rows).where("_look = 1")
-    seen = timed.withColumn("shown", F.when(F.col("_furthest").isNotNull(), F.least(F.greatest(F.lit(0), F.least(F.lit(FULL), F.col("paced"))), "_furthest")).otherwise(F.lit(0)))
-    # By value: the last entry that counts from each of the FULL + 1 values or less.
+    seen = timed.withColumn("shown", F.when(F.col("_furthest").isNotNull(), F.least(F.greatest(F.lit(0), F.least(F.lit(FULL), F.col("paced"))), "_furthest")).otherwise(F.lit(0) if unreported is None else unreported))
+    # By value: a key has the last entry that counts from each start, at most FULL + 1 of them in one row, and each look reads its own off that row.
     latest = entries.groupBy("_key", "_counts_from").agg(F.max("_no").alias("_no"))
-    values = latest.groupBy("_key").agg(F.map_from_entries(F.collect_list(F.struct(F.col("_counts_from").cast("int"), "_no"))).alias("_by"))  # at most FULL + 1 entries
-    upto = values.select(F.col("_key").alias("_k"), F.explode(F.sequence(F.lit(0), F.lit(FULL))).alias("_value"), "_by").withColumn("_last", F.array_max(F.transform(F.sequence(F.lit(0), F.col("_value")), lambda v: F.try_element_at("_by", v)))).drop("_by")
-    met = seen.join(upto, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("shown") == F.col("_value")), "left").drop("_k", "_value")
+    values = latest.groupBy(F.col("_key").alias("_k")).agg(F.collect_list(F.struct("_counts_from", "_no")).alias("_by"))
+    met = seen.join(values, F.col("_key").eqNullSafe(F.col("_k")), "left").withColumn("_last", F.array_max(F.transform("_by", lambda e: F.when(e["_counts_from"] <= F.col("shown"), e["_no"])))).drop("_k", "_by")
     chosen = met.withColumn("_no", F.when(F.col("_so_far") > 0, F.greatest(F.lit(1), F.least(F.col("_so_far"), F.coalesce("_last", F.lit(1))))))
-    said = entries.select(F.col("_key").alias("_k"), F.col("_no").alias("_n"), "message")
+    said = entries.select(F.col("_key").alias("_k"), F.col("_no").alias("_n"), "message").hint("merge")  # a row for each entry: never sent whole
     return chosen.join(said, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_no") == F.col("_n")), "left").select(F.col("_key").alias(key), F.col("_id").alias("look_id"), F.col("shown").cast("int").alias("shown"), "message")
