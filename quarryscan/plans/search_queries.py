@@ -37,8 +37,8 @@ def _events(spark: SparkSession, sf_dir: str, key) -> tuple[DataFrame, DataFrame
 
 
 def progress_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a user's views show of the progress that their other events report."""
-    return scans.progress(*_events(spark, sf_dir, F.col("user_id")), "run")
+    """What a user's views show of the progress that their other events report; the paced value before the first of these, as in the SQL."""
+    return scans.progress(*_events(spark, sf_dir, F.col("user_id")), "run", unreported=F.col("paced"))
 
 
 def progress_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:

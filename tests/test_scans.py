@@ -77,6 +77,29 @@ def test_progress_by_a_loop(spark, slice_rows):
     assert sorted(map(tuple, got), key=str) == sorted(_shown(reports, looks), key=str)
 
 
+def test_progress_before_the_first_report_and_without_a_row_for_each_value(spark):
+    looks = spark.createDataFrame([(1, EPOCH, 7, 40), (2, EPOCH, 8, 30)], "run long, at timestamp, look_id long, paced int")
+    reports = spark.createDataFrame([(1, EPOCH + datetime.timedelta(seconds=5), 1, 90, 0, "read"), (2, EPOCH, 2, 20, 50, "scan")], "run long, at timestamp, report_id long, share int, start int, message string")
+    assert sorted(map(tuple, scans.progress(reports, looks, "run").collect())) == [(1, 7, 0, None), (2, 8, 20, "scan")]
+    got = scans.progress(reports, looks, "run", unreported=F.col("paced"))
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 40, None), (2, 8, 20, "scan")]
+    # A row for each key and value is a hundred times the keys, which Spark takes for small and sends whole.
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["progress_by_user", "progress_of_one"])
+def test_progress_matches_its_sql_where_users_begin_with_views(spark, name):
+    import duckdb
+
+    from quarryscan.plans import search_queries
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
+    want = con.sql(search_queries.ORACLE_SQL[name]).select("run, look_id, shown, message").fetchall()
+    got = search_queries.QUERIES[name](spark, "/root/testdata/sf0.01").select("run", "look_id", "shown", "message")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_names_by_contains(spark):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abé") for _ in range(n))
