@@ -43,7 +43,7 @@ def progress_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progress_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with half of all events in one run."""
-    return scans.progress(*_events(spark, sf_dir, F.when(F.col("user_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id")).cast("long")), "run", slice_rows=500)
+    return scans.progress(*_events(spark, sf_dir, F.when(F.col("user_id") % 2 == 0, F.lit(0)).otherwise(F.col("user_id")).cast("long")), "run", slice_rows=500, unreported=F.col("paced"))
 
 
 def budget_of_one(spark: SparkSession, sf_dir: str) -> DataFrame:
