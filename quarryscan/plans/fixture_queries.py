@@ -143,22 +143,29 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.when(k % 29 == 1, F.lit("{broken")).otherwise(F.to_json(record)).alias("record"))
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Advisories of every coordinate, each looked up once, whatever the artifacts that have it; and the artifacts (artifact_id, coordinate)."""
     parsed = advisories.parse(_records(spark, sf_dir))
     k = F.col("k")
     version = F.concat(_dotted(k % 11, F.col("p_size") % 7, k % 3), F.when(k % 17 == 0, "-rc.1").otherwise(""))
     deps = _parts(spark, sf_dir).select(F.col("p_brand").alias("artifact_id"), F.when(k % 4 < 2, "npm").otherwise("PyPI").alias("ecosystem"), F.concat(F.lit("pkg"), (k % 25).cast("string")).alias("name"), version.alias("version"))
-    return advisories.with_details(advisories.lookup_in_order(deps.withColumn("coordinate", dependencies.coordinate()), advisories.affected_packages(parsed)), parsed)[0]
+    # A coordinate tells ecosystem, name and version.
+    deps = deps.withColumn("coordinate", dependencies.coordinate()).distinct()
+    once = deps.drop("artifact_id").distinct().withColumn("artifact_id", F.lit("any"))
+    found = advisories.with_details(advisories.lookup_in_order(once, advisories.affected_packages(parsed)), parsed)[0]
+    return found, deps.select("artifact_id", "coordinate")
 
 
 def vulnerable_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dependencies and the advisories whose list or range they are in."""
-    return _hits(spark, sf_dir).select("artifact_id", "coordinate", "id", "severity")
+    found, owners = _hits(spark, sf_dir)
+    return found.select("coordinate", "id", "severity").join(owners, "coordinate").select("artifact_id", "coordinate", "id", "severity")
 
 
 def vuln_by_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per coordinate: advisories, worst severity, identifiers and fixes."""
-    rows = advisories.by_package(_hits(spark, sf_dir))
+    found, owners = _hits(spark, sf_dir)
+    rows = advisories.by_package(found).drop("artifact_id").join(owners, "coordinate")
     return rows.select("artifact_id", "coordinate", "n_advisories", "severity", F.array_join("ids", ",").alias("ids"), F.array_join("fixed_versions", ",").alias("fixed_versions"))
 
 
