@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from quarryscan.functions import paths as P
 from quarryscan.functions import text as T
 
-from .prefilter import possible
+from .prefilter import bounded_batches, possible
 from .rulebook import CATEGORIES, FAMILIES, RULES, Rule
 
 KEYS = ["artifact_id", "file_ord"]
@@ -101,6 +101,7 @@ def _by_rule(rules: Sequence[Rule], value: Callable[[Rule], Column]) -> Column:
 def matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every match of every applicable rule: the file's keys, path and flags, rule_id, pos, match, start (0-based), line (1-based), column
     (0-based), line_text, context (120 characters on both sides), before (the lines down to the match's, at most 16)."""
+    bounded_batches(files.sparkSession)
     content = F.coalesce("content", F.lit(""))
     named = files.select(*KEYS, F.coalesce("path", F.lit("")).alias("path"), content.alias("content"), F.coalesce("language", F.lit("Unknown")).alias("language"))
     base = named.withColumn("_may", possible(F.col("content"), rules)).where(F.size("_may") > 0)
@@ -148,6 +149,7 @@ def matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 
 def match_counts(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """artifact_id, rule_id, n_matches: matches before anything is dropped, of the rules that have some; languages are not looked at."""
+    bounded_batches(files.sparkSession)
     base = files.select("artifact_id", F.coalesce("content", F.lit("")).alias("content")).withColumn("_may", possible(F.col("content"), rules)).where(F.size("_may") > 0)
     counts = [F.when(F.array_contains("_may", i), F.struct(F.lit(r.id).alias("rule_id"), F.regexp_count("content", F.lit(r.pattern)).alias("n"))) for i, r in enumerate(rules)]
     each = base.select("artifact_id", F.explode(F.filter(F.array(*counts), lambda x: x.isNotNull() & (x["n"] > 0))).alias("r"))
