@@ -110,6 +110,32 @@ def test_names_by_contains(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and len(want) > 10
 
 
+def test_holders_by_contains(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdé") for _ in range(n))
+    texts = [(rng.choice(["p", "q", None]), i, rng.choice([None, "", word(300), word(30)])) for i in range(60)]
+    names = [(rng.choice(["p", "q", None]), word(rng.randrange(2, 8))) for _ in range(80)] + [("p", None)]
+    got = anchors.holders(spark.createDataFrame(names, "g string, name string"), spark.createDataFrame(texts, "g string, k int, content string"), "g", "k").collect()
+    want = {(g, k) for g, k, t in texts for h, n in names if n and len(n) >= 4 and g == h and n in (t or "")}
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and 5 < len(want) < 60
+
+
+def test_advisories_are_looked_up_once_for_a_coordinate(spark):
+    from quarryscan.plans import fixture_queries
+
+    found, owners = fixture_queries._hits(spark, "/root/testdata/sf0.001")
+    assert {r[0] for r in found.select("artifact_id").distinct().collect()} == {"any"}
+    assert owners.count() == owners.distinct().count()
+
+
+def test_texts_go_to_python_in_small_batches(spark):
+    from quarryscan.operators import prefilter, rules
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    rules.matches(spark.createDataFrame([("a", 1, "x.py", "eval(x)", "Python", False)], "artifact_id string, file_ord int, path string, content string, language string, is_decompiled boolean"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == prefilter.BATCH_ROWS
+
+
 def test_every_place_of_a_quotation(spark):
     rng = random.Random(4)
     word = lambda n: "".join(rng.choice("ab c😀") for _ in range(n))
