@@ -19,12 +19,14 @@ from pyspark.sql.window import Window
 from quarryscan.functions import paths as P
 from quarryscan.functions import text as T
 
-from .prefilter import bounded_batches, possible
+from .prefilter import bounded_batches, possible, quick
 from .rulebook import CATEGORIES, FAMILIES, RULES, Rule
 
 KEYS = ["artifact_id", "file_ord"]
 #: Lines above a match that a guard may stand on.
 LOOK_BACK = 15
+#: Stands on both sides of a match while a text is cut at its matches: a code point that is no character.
+MARK = "\uFDD0"
 _SCHEME = r"(?i)uri\.(?:uriSchemeHttps?|trycreate)|\.scheme\b|startswith\s*\(\s*[\"']https?:"
 _FETCHES = r"(?i)httpclient|webclient|downloadfile|\bfetch\s*\(|https?\.get\s*\(|requests\.get|urlretrieve|getbytearrayasync|invoke-webrequest|axios"
 _WRITES = r"(?i)writeallbytes|createwritestream|writefile(?:sync)?\s*\(|gettemppath|os\.tmpdir|downloadfile|copytoasync|urlretrieve|\.exe[\"']"
@@ -98,23 +100,34 @@ def _by_rule(rules: Sequence[Rule], value: Callable[[Rule], Column]) -> Column:
     return out
 
 
+def cut_at(content: Column, pattern: str) -> Column:
+    """The pieces between the matches of a pattern, with the matches between them; one piece if there are none. The expression runs over the text once."""
+    once = F.split(F.regexp_replace(content, F.lit(pattern), F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    # A text that has the mark itself: its matches and pieces are looked for one by one.
+    found, pieces = F.regexp_extract_all(content, F.lit(pattern), F.lit(0)), F.split(content, pattern, -1)
+    apart = F.slice(F.flatten(F.zip_with(pieces, found, lambda b, m: F.array(b, m))), 1, F.size(found) * 2 + 1)
+    return F.when(F.contains(content, F.lit(MARK)), apart).otherwise(once)
+
+
 def matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Every match of every applicable rule: the file's keys, path and flags, rule_id, pos, match, start (0-based), line (1-based), column
     (0-based), line_text, context (120 characters on both sides), before (the lines down to the match's, at most 16)."""
     bounded_batches(files.sparkSession)
     content = F.coalesce("content", F.lit(""))
     named = files.select(*KEYS, F.coalesce("path", F.lit("")).alias("path"), content.alias("content"), F.coalesce("language", F.lit("Unknown")).alias("language"))
-    base = named.withColumn("_may", possible(F.col("content"), rules)).where(F.size("_may") > 0)
+    base = named.withColumn("_may", possible(F.col("content"), rules))
 
     def hits(r: Rule) -> Column:
-        found, pieces = F.regexp_extract_all("content", F.lit(r.pattern), F.lit(0)), F.split("content", r.pattern, -1)
-        pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), _lengths(b, "b"), _lengths(m, "l")))
+        """The text cut at a rule's matches: what is before the first one, the match, what is before the second one, and so on."""
         may = F.array_contains("_may", rules.index(r)) & applies(r)
-        return F.when(may & F.col("content").rlike(r.pattern), F.struct(F.lit(r.id).alias("rule_id"), pairs.alias("hits")))
+        return F.when(may, F.struct(F.lit(r.id).alias("rule_id"), cut_at(F.col("content"), quick(r.pattern)).alias("cut")))
 
-    per_rule = base.withColumn("_r", F.explode(F.filter(F.array(*[hits(r) for r in rules]), lambda x: x.isNotNull())))
+    fired = F.filter(F.array(*[hits(r) for r in rules]), lambda x: x.isNotNull() & (F.size(x["cut"]) > 1))
+    per_rule = base.withColumn("_r", F.explode(fired))
     plus, most = (lambda a, b: a + b), (lambda a, b: F.greatest(a, b))
-    one = per_rule.select("*", F.col("_r.rule_id").alias("rule_id"), F.col("_r.hits").alias("_h")).drop("_r")
+    one = per_rule.select("*", F.col("_r.rule_id").alias("rule_id"), F.col("_r.cut").alias("_cut")).drop("_r")
+    pair = lambda i: F.struct(F.get("_cut", 2 * i - 1).alias("m"), _lengths(F.get("_cut", 2 * i - 2), "b"), _lengths(F.get("_cut", 2 * i - 1), "l"))
+    one = one.withColumn("_h", F.transform(F.sequence(F.lit(1), F.floor(F.size("_cut") / 2).cast("int")), pair)).drop("_cut")
     # Ends of the matches, and line ends up to there.
     one = one.withColumns({
         "_end": T.running(F.transform("_h", lambda x: x["b"]["n"] + x["l"]["n"]), F.lit(0), plus, "int"),
@@ -150,7 +163,7 @@ def matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
 def match_counts(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """artifact_id, rule_id, n_matches: matches before anything is dropped, of the rules that have some; languages are not looked at."""
     bounded_batches(files.sparkSession)
-    base = files.select("artifact_id", F.coalesce("content", F.lit("")).alias("content")).withColumn("_may", possible(F.col("content"), rules)).where(F.size("_may") > 0)
+    base = files.select("artifact_id", F.coalesce("content", F.lit("")).alias("content")).withColumn("_may", possible(F.col("content"), rules))
     counts = [F.when(F.array_contains("_may", i), F.struct(F.lit(r.id).alias("rule_id"), F.regexp_count("content", F.lit(r.pattern)).alias("n"))) for i, r in enumerate(rules)]
     each = base.select("artifact_id", F.explode(F.filter(F.array(*counts), lambda x: x.isNotNull() & (x["n"] > 0))).alias("r"))
     return each.groupBy("artifact_id", "r.rule_id").agg(F.sum("r.n").cast("long").alias("n_matches"))
