@@ -10,6 +10,8 @@ MINIFIED_LINE = 200
 # Significant lines of a file that counts as a duplicate, and groups listed for an artifact.
 LEAST_LINES, MOST_GROUPS = 10, 10
 WHITE = r"[\x09-\x0D\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same characters, for `trim`.
+WHITE_CHARS = "".join(map(chr, (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Trimmed lines without logic: blank, lone closers, comments, imports.
 IDLE = r"\A(?:\z|(?:\{|\}|\};|\)|\);|\]|\];|else)\z|//|#|\*|/\*|(?:using|import|from|export|package|namespace)\x20)"
 
@@ -36,10 +38,14 @@ def coverage(shaped: DataFrame) -> DataFrame:
     )
 
 
+def trimmed(line: Column) -> Column:
+    """A line without white space at its ends."""
+    return F.trim(line, F.lit(WHITE_CHARS))
+
+
 def significant(content: Column) -> Column:
     """The trimmed lines that carry logic."""
-    trimmed = F.transform(F.split(content, "\n", -1), lambda x: F.regexp_replace(x, rf"\A{WHITE}++|(?<!{WHITE}){WHITE}++\z", ""))
-    return F.filter(trimmed, lambda x: ~x.rlike(IDLE))
+    return F.filter(F.transform(F.split(content, "\n", -1), trimmed), lambda x: ~x.rlike(IDLE))
 
 
 def identical(files: DataFrame) -> DataFrame:

@@ -24,8 +24,7 @@ def eligible(files: DataFrame) -> DataFrame:
 
 def significant_lines(files: DataFrame) -> DataFrame:
     """artifact_id, file_ord, path, line_no (1-based), text: trimmed lines that carry logic."""
-    trimmed = lambda x: F.regexp_replace(x, rf"\A{shapes.WHITE}++|(?<!{shapes.WHITE}){shapes.WHITE}++\z", "")
-    rows = F.transform(F.split(F.coalesce("content", F.lit("")), "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), trimmed(x).alias("text")))
+    rows = F.transform(F.split(F.coalesce("content", F.lit("")), "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), shapes.trimmed(x).alias("text")))
     return files.select("artifact_id", "file_ord", "path", F.explode(F.filter(rows, lambda x: ~x["text"].rlike(shapes.IDLE))).alias("l")).select("artifact_id", "file_ord", "path", "l.*")
 
 
@@ -34,8 +33,7 @@ def blocks(files: DataFrame, size: int = BLOCK) -> DataFrame:
 
     Windows slide over the file's own array of lines, so that no line is shuffled.
     """
-    trimmed = lambda x: F.regexp_replace(x, rf"\A{shapes.WHITE}++|(?<!{shapes.WHITE}){shapes.WHITE}++\z", "")
-    rows = F.filter(F.transform(F.split(F.coalesce("content", F.lit("")), "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), trimmed(x).alias("text"))), lambda x: ~x["text"].rlike(shapes.IDLE))
+    rows = F.filter(F.transform(F.split(F.coalesce("content", F.lit("")), "\n", -1), lambda x, i: F.struct((i + 1).alias("line_no"), shapes.trimmed(x).alias("text"))), lambda x: ~x["text"].rlike(shapes.IDLE))
     held = files.select("artifact_id", "file_ord", "path", rows.alias("ls")).where(F.size("ls") >= size)
     window = lambda i: F.array_join(F.transform(F.slice("ls", i, size), lambda x: x["text"]), "\n")
     made = F.transform(F.sequence(F.lit(1), F.size("ls") - size + 1), lambda i: F.struct(F.get("ls", i - 1)["line_no"].alias("line_no"), F.sha2(window(i).cast("binary"), 256).alias("block_sha256")))
@@ -43,10 +41,17 @@ def blocks(files: DataFrame, size: int = BLOCK) -> DataFrame:
 
 
 def within_budget(files: DataFrame, most: int = BUDGET) -> DataFrame:
-    """Files in order until an artifact's lines pass the budget."""
+    """Files in order until an artifact's lines pass the budget; files in one place count together at the end.
+
+    Only places and numbers of lines are ordered; texts stay where they are and meet the last place of their artifact.
+    """
     n = F.length("content") - F.length(F.replace("content", F.lit("\n"), F.lit(""))) + 1
-    before = F.sum("_n").over(Window.partitionBy("artifact_id").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1))
-    return files.withColumn("_n", n).withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < most).drop("_n", "_before")
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("artifact_id").orderBy("file_ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = files.select("artifact_id", "file_ord", F.coalesce(n, F.lit(0)).alias("_n")).withColumn("_before", before)
+    ends = placed.groupBy(F.col("artifact_id").alias("_a")).agg(F.max(F.when(F.col("_before") < most, F.col("file_ord"))).alias("_last"), F.max("_before").alias("_all"))
+    over = F.broadcast(ends.where(F.col("_all") >= most).select("_a", "_last", F.lit(True).alias("_over")))  # at most a row for so many lines as the budget has
+    joined = files.join(over, F.col("artifact_id").eqNullSafe(F.col("_a")), "left")
+    return joined.where(F.col("_over").isNull() | F.col("file_ord").isNull() | (F.col("file_ord") <= F.col("_last"))).select(*files.columns)
 
 
 def block_groups(made: DataFrame) -> DataFrame:

@@ -221,3 +221,27 @@ def test_properties_by_json(spark):
         want += [(i, k, kinds[type(v)], None) for k, v in value.items()] if isinstance(value, dict) else [(i, None, None, variants.NO_OBJECT)]
     got = variants.properties(spark.createDataFrame(list(enumerate(texts)), "i int, t string"), F.col("t")).select("i", "name", "kind", "note").collect()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_scores_read_the_scan_once(spark):
+    from quarryscan.plans import catalogue
+
+    plan = catalogue.QUERIES["scan_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+    assert sum("ArrowEvalPython" in line for line in plan.split("\n")) == 1
+
+
+def test_lines_of_an_artifact_within_budget(spark):
+    from quarryscan.operators import redundancy
+
+    rng = random.Random(5)
+    rows = [(rng.choice(["a", "b", None]), i, "\n" * rng.randrange(6)) for i in range(90)] + [("small", 1, "x"), ("small", None, "y\nz")]
+    want, sums = set(), {}
+    for a, i, text in sorted(rows, key=lambda r: (str(r[0]), -1 if r[1] is None else r[1])):
+        if sums.get(a, 0) < 40:
+            want.add((a, i))
+        sums[a] = sums.get(a, 0) + text.count("\n") + 1
+    frame = spark.createDataFrame(rows, "artifact_id string, file_ord long, content string")
+    kept = redundancy.within_budget(frame, 40)
+    assert {(r["artifact_id"], r["file_ord"]) for r in kept.collect()} == want and kept.columns == frame.columns
+    plan = kept._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
