@@ -31,11 +31,11 @@ from .common import Scratch, bounded_batches
 LIMIT = 1024
 END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
-#: Places where a token always begins: a blank or a line's end between other characters, after a line's end, and a point
+#: Places where a token always begins: a blank or a line's end between other characters, after that line's end, and a point
 #: or comma after a letter. A text's ids are those of its pieces cut there.
-_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\n)(?=\S)|(?<=[a-z])(?=[.,])")
-#: Pieces whose ids a task remembers, and the longest of them in characters; others are encoded anew.
-MEMO, MEMO_CHARS = 400_000, 40
+_CUT = re.compile(r"(?<=\S)(?=[ \n]\S)|(?<=\S\n)(?=\S)|(?<=[a-z])(?=[.,])")
+#: Pieces whose ids a worker remembers from task to task, and the longest of them in characters; others are encoded anew.
+MEMO, MEMO_CHARS = 1_000_000, 40
 _LOADED: dict = {}
 
 
@@ -62,9 +62,9 @@ class Coder:
         self.line_end = coder.encode("\n", add_special_tokens=False).ids[0] if self.cuts else None
 
     def learn(self, new: list[str]) -> None:
-        """Encodes pieces many at once, a line's end between them; those that hold one or special text go alone."""
-        plain = [p for p in new if "\n" not in p and "<|" not in p]
-        odd = [p for p in new if "\n" in p or "<|" in p]
+        """Encodes pieces many at once, a line's end between them; those that hold one or special text go alone, and so do those with white space at an end that would join it."""
+        odd = [p for p in new if "\n" in p or "<|" in p or p[-1:].isspace() or p.removeprefix(" ")[:1].isspace()]
+        plain = list(set(new).difference(odd))
         lots = [plain[i : i + 256] for i in range(0, len(plain), 256)]
         for lot, code in zip(lots, self.encode_batch(["\n".join(lot) for lot in lots], add_special_tokens=False)):
             ids = np.array(code.ids, "<u4")
@@ -92,6 +92,13 @@ class Coder:
         return out
 
 
+def coder_of(path: str | None) -> Coder:
+    """The worker's coder, with what it remembers from earlier tasks."""
+    if ("coder", path) not in _LOADED:
+        _LOADED["coder", path] = Coder(path)
+    return _LOADED["coder", path]
+
+
 def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer: str | None = None) -> DataFrame:
     """Token pieces: doc_id, piece, start, length, ids_crc32, and the place `part`, `nth` (rank among
     the pieces of one length in that part)."""
@@ -99,7 +106,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, end_id: int = END_ID, tokenizer:
     bounded_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part, seen = Coder(tokenizer), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
+        coder, part, seen = coder_of(tokenizer), TaskContext.get().partitionId(), np.zeros(limit + 1, np.int64)
         for batch in batches:
             rows: list[tuple] = []
             ids, texts = batch.column(0).to_pylist(), batch.column(1)

@@ -183,3 +183,14 @@ def test_pages_without_an_article(spark):
 def test_redaction_removes_what_find_found(spark, docs):
     out = [r["text"] for r in pii.redact(docs).where("doc_id = 35").collect()][0]
     assert "a.b@c.org" not in out and "4111" not in out and "[EMAIL]" in out
+
+
+def test_coder_gives_the_tokenizers_ids():
+    import random
+
+    rng = random.Random(3)
+    parts = [" ", " ", "a", "Bc", "\n", "\n", "\t", ".", ",", "'s", "1", "\u00e9", "<|", "\r", "\x1c", "\u3000"]
+    texts = ["a\n\nb", "  a", "\n\n1", *("".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3000))]
+    want = [e.ids for e in packing._tokenizer(None).encode_batch(texts, add_special_tokens=False)]
+    coder = packing.Coder()
+    assert [x.tolist() for i in range(0, len(texts), 256) for x in coder.ids(texts[i : i + 256])] == want
