@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +195,32 @@ def test_coder_gives_the_tokenizers_ids():
     want = [e.ids for e in packing._tokenizer(None).encode_batch(texts, add_special_tokens=False)]
     coder = packing.Coder()
     assert [x.tolist() for i in range(0, len(texts), 256) for x in coder.ids(texts[i : i + 256])] == want
+
+
+def test_each_distinct_piece_is_looked_up_once_in_a_slice():
+    class Counting(dict):
+        met = 0
+
+        def __getitem__(self, key):
+            Counting.met += 1
+            return super().__getitem__(key)
+
+    texts = ["one two, three.\n" * 2000] * 3
+    coder = packing.Coder()
+    coder.known = Counting()
+    want = packing._tokenizer(None).encode(texts[0], add_special_tokens=False).ids
+    assert [x.tolist() for x in coder.ids(texts)] == [want] * 3
+    assert Counting.met < 50
+
+
+def test_pieces_of_odd_characters_in_slices(monkeypatch):
+    rng = random.Random(2)
+    letters = [*"ab Z.,\n\n  \t'1é÷ßs", "\xa0", " ", "　", "\x85", "’", "​", "\x1c", "\x7f", "᠎", "é", "中", "😀", "<|", "|>", "<|endoftext|>"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(14))) for _ in range(4000)]
+    want = [e.ids for e in packing._tokenizer(None).encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(packing, "TOGETHER", 512)
+    monkeypatch.setattr(packing, "MEMO", 40)
+    monkeypatch.setattr(packing, "MEMO_CHARS", 5)
+    coder = packing.Coder()
+    assert [x.tolist() for x in coder.ids(texts)] == want and len(coder.before) > 40
+    assert [x.tolist() for x in coder.ids(pa.array([None, *texts[:9], ""]).slice(1))] == [*want[:9], []]
