@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, signed
-from .ngram_join import SHORT_COLUMNS, THRESHOLD, Sketch, _band, _flat, classes, sets, settle, short_bitmaps, short_overlap, wanted_sets
+from .ngram_join import SHORT_COLUMNS, THRESHOLD, Sketch, _band, _flat, about_wanted, classes, sets, settle, short_bitmaps, short_overlap, wanted_sets
 
 SIZE = 4
 #: Minima of a band, and bands. Their product is a multiple of 64.
@@ -109,7 +109,7 @@ def signatures(one: DataFrame) -> DataFrame:
 
 
 def fine_signatures(open_sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """sid, FINE_PLANES and the short bitmap of the open sets in wanted (sid)."""
+    """sid, FINE_PLANES and the short bitmap of the open sets in wanted (sid), and of some others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,7 +119,7 @@ def fine_signatures(open_sets: DataFrame, wanted: DataFrame) -> DataFrame:
                 columns = [np.ascontiguousarray(c) for c in (*fine.T, *short_bitmaps(grams).T)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["sid", *FINE_PLANES, *SHORT_COLUMNS])
 
-    return open_sets.join(wanted, "sid", "left_semi").select("sid", "grams").mapInArrow(run, "sid long, " + ", ".join(f"{c} long" for c in (*FINE_PLANES, *SHORT_COLUMNS)))
+    return about_wanted(open_sets.select("sid", "grams"), wanted).mapInArrow(run, "sid long, " + ", ".join(f"{c} long" for c in (*FINE_PLANES, *SHORT_COLUMNS)))
 
 
 def _differ(left: str, right: str, prefix: str = "b", bits: int = BITS, count: int = MINIMA) -> Column:

@@ -114,8 +114,8 @@ def _slot(values: np.ndarray) -> np.ndarray:
     return (values & np.uint64(COUNTERS - 1)).astype(np.int64)
 
 
-def _sid_slot() -> Column:
-    return F.pmod(F.xxhash64("sid"), F.lit(SLOTS))
+def _sid_slot(sid: str = "sid") -> Column:
+    return F.pmod(F.xxhash64(sid), F.lit(SLOTS))
 
 
 def _frequent(one: DataFrame) -> np.ndarray:
@@ -257,12 +257,19 @@ def _possible(a: str, b: str, percent: int) -> Column:
     return (most * (100 + percent) >= (F.col(f"{a}.n") + F.col(f"{b}.n")) * percent) & _pairs_within(F.col(f"{a}.n"), F.col(f"{b}.n"), percent)
 
 
+def about_wanted(rows: DataFrame, wanted: DataFrame, sid: str = "sid") -> DataFrame:
+    """The rows whose sid is in wanted (sid), and some others: by a filter of fixed size, 64 bits in each of SLOTS slots, without a shuffle of the rows."""
+    bit = F.pmod(F.xxhash64(F.lit(1), sid), F.lit(64)).cast("int")
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    marks = wanted.select(_sid_slot(sid).alias("_slot"), mark.alias("_mark")).groupBy("_slot").agg(F.bit_or("_mark").alias("_marks"))  # at most SLOTS rows
+    # A semi-join, which no other one is moved under.
+    return rows.join(F.broadcast(marks), (_sid_slot(sid) == F.col("_slot")) & (F.col("_marks").bitwiseAND(mark) != 0), "left_semi")
+
+
 def wanted_sets(one: DataFrame, wanted: DataFrame) -> DataFrame:
     """sid, n, grams of the sets in wanted (sid), once each."""
-    # Most sets are in no tile: a filter of fixed size spares them the shuffle of the join.
-    slots = F.broadcast(wanted.select(_sid_slot().alias("_slot")).distinct())  # at most SLOTS rows
-    some = one.withColumn("_slot", _sid_slot()).join(slots, "_slot", "left_semi")
-    return some.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
+    # Most sets are in no tile: the filter spares them the shuffle of the join.
+    return about_wanted(one, wanted).join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
 
 
 def _open_sets(one: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -292,8 +299,8 @@ def _bounded(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose exact overlap reaches the threshold."""
-    left, right = (open_sets.select(F.col("sid").alias(x), F.col("grams").alias(f"grams_{x}")) for x in "ab")
+    """Pairs (stored) whose exact overlap reaches the threshold. Only sets in a pair are shuffled."""
+    left, right = (about_wanted(open_sets.select("sid", "grams"), pairs.select(F.col(x).alias("sid"))).toDF(x, f"grams_{x}") for x in "ab")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,7 +310,7 @@ def _verified(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame
                 keep.append(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
+    return pairs.hint("merge").join(left, "a").hint("merge").join(right, "b").select("a", "b", "grams_a", "grams_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -399,7 +406,7 @@ def settle(shared: DataFrame, open_sets: DataFrame, sketch: Sketch, scratch: Scr
             p, q = members.alias("p"), centre.alias("q")
             apart = (F.col("p.label") != F.col("q.label")) & _possible("p.s", "q.s", percent) & sketch.near("p", "q", percent)
             meet = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & apart).select(*_pair("p.s.sid", "q.s.sid")).distinct()
-        found = scratch.write(_verified(meet, open_sets, percent), "links")
+        found = scratch.write(_verified(scratch.write(meet, "pairs"), open_sets, percent), "links")
         n_found = found.count()
         if n_found == 0:
             break
@@ -415,7 +422,7 @@ def settle(shared: DataFrame, open_sets: DataFrame, sketch: Sketch, scratch: Scr
     p, q = before.alias("p"), before.alias("q")
     across = (F.col("p.label") < F.col("q.label")) & _possible("p.s", "q.s", percent) & sketch.near("p", "q", percent) & ~F.arrays_overlap("p.before", "q.before")
     rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & across).select(*_pair("p.s.sid", "q.s.sid")).distinct()
-    more = scratch.write(_verified(sketch.bounded(rest, open_sets, percent), open_sets, percent), "links")
+    more = scratch.write(_verified(scratch.write(sketch.bounded(rest, open_sets, percent), "pairs"), open_sets, percent), "links")
     return labels if more.isEmpty() else _joined(labels, more, scratch)
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from quarryscan.llm import minhash
+from quarryscan.llm import minhash, ngram_join
 from quarryscan.llm.common import shingle_set
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -93,3 +93,12 @@ def test_bands_agree_only_where_all_minima_do():
     same = (least[:, 0] == least[:, 1]).reshape(minhash.BANDS, minhash.ROWS).all(axis=1)
     assert (keys[0] == keys[1]).tolist() == same.tolist()
     assert len(set(keys[0].tolist())) == minhash.BANDS
+
+
+def test_sets_without_a_partner_are_not_shuffled(spark, tmp_path):
+    spark.range(20000).selectExpr("id AS sid", "id AS n", "cast(id AS string) AS grams").write.parquet(f"{tmp_path}/one")
+    spark.range(0, 20000, 4).selectExpr("id AS sid").write.parquet(f"{tmp_path}/wanted")
+    one, wanted = spark.read.parquet(f"{tmp_path}/one"), spark.read.parquet(f"{tmp_path}/wanted")
+    got = {r[0] for r in ngram_join.about_wanted(one, wanted).select("sid").collect()}
+    assert got >= set(range(0, 20000, 4)) and len(got) < 5100  # SLOTS slots of one bit would let hundreds more pass
+    assert ngram_join.wanted_sets(one, wanted).count() == 5000
