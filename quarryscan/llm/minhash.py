@@ -27,15 +27,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, signed
-from .ngram_join import SHORT_COLUMNS, THRESHOLD, Sketch, _band, _flat, about_wanted, classes, sets, settle, short_bitmaps, short_overlap, wanted_sets
+from .ngram_join import SHORT_COLUMNS, THRESHOLD, Sketch, _band, _flat, about_wanted, classes, sets, settle, short_bitmaps, wanted_sets
 
 SIZE = 4
 #: Minima of a band, and bands. Their product is a multiple of 64.
 ROWS, BANDS = 4, 32
 #: Low bits kept of each minimum, and standard deviations of the estimate that a candidate may lie under the threshold.
 BITS, SURE = 4, 6
-#: Shingles hashed together.
-TOGETHER = 1 << 19
+#: Shingles hashed together, and how many of them at a time: what stays in a core's cache.
+TOGETHER, LOT = 1 << 19, 1 << 15
 MINIMA = ROWS * BANDS
 #: Members of a bucket that all others meet in a round.
 CENTRES = 8
@@ -55,11 +55,27 @@ _XOR, _MUL = _SEEDS[0], _SEEDS[1] | np.uint64(1)
 def minima(flat: np.ndarray, starts: np.ndarray, first: int = 0, count: int = MINIMA) -> np.ndarray:
     """count x sets: the least hash of each set under each permutation from `first` on; sets are the runs of flat that begin at starts."""
     out = np.empty((count, len(starts)), np.uint64)
-    for i in range(count):
-        np.minimum.reduceat((flat ^ _XOR[first + i]) * _MUL[first + i], starts, out=out[i])
+    ends = np.append(starts, len(flat))
+    cut = (np.flatnonzero(np.diff(ends[:-1] // LOT)) + 1).tolist()
+    for a, b in zip([0, *cut], [*cut, len(starts)]):
+        part, at = flat[ends[a] : ends[b]], starts[a:b] - ends[a]
+        hashes = np.empty_like(part)
+        for i in range(count if b > a else 0):
+            np.bitwise_xor(part, _XOR[first + i], out=hashes)
+            np.multiply(hashes, _MUL[first + i], out=hashes)
+            np.minimum.reduceat(hashes, at, out=out[i, a:b])
     return out
 
 
+def _slices(batch: pa.RecordBatch, grams: int, most: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of a batch of sets with about `most` shingles each, and the sizes of their sets."""
+    sizes = np.fromiter((len(x) // 8 for x in batch.column(grams).to_pylist()), np.int64, batch.num_rows)
+    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most, prepend=0)).tolist()
+    for a, b in zip([0, *cut], [*cut, batch.num_rows]):
+        if a < b:
+            yield batch.slice(a, b - a), sizes[a:b]
+
+
 def planes(least: np.ndarray, bits: int = BITS) -> np.ndarray:
     """sets x planes: bit j of all minima of a set, in words of 64."""
     of_bit = (least[None] >> np.arange(bits, dtype=np.uint64)[:, None, None]) & np.uint64(1)  # bits x minima x sets
@@ -93,17 +109,12 @@ def signatures(one: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = np.fromiter((len(x) // 8 for x in batch.column(1).to_pylist()), np.int64, batch.num_rows)
-            cut = np.flatnonzero(np.diff(np.cumsum(sizes) // TOGETHER, prepend=0))
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), batch.num_rows]):
-                if a == b:
-                    continue
-                part = batch.slice(a, b - a)
+            for part, sizes in _slices(batch, 1, TOGETHER):
                 flat, _ = _flat(part, 0, 1)
-                least = minima(flat, np.append(0, np.cumsum(sizes[a:b])[:-1]))
+                least = minima(flat, np.append(0, np.cumsum(sizes)[:-1]))
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(signed(np.ascontiguousarray(band_keys(least))).ravel()), BANDS).cast(pa.list_(pa.int64()))
                 bits = signed(np.ascontiguousarray(planes(least).T))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes[a:b]), keys, *map(pa.array, bits)], ["sid", "n", "keys", *PLANES])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), keys, *map(pa.array, bits)], ["sid", "n", "keys", *PLANES])
 
     return one.select("sid", "grams").mapInArrow(run, "sid long, n long, keys array<long>, " + ", ".join(f"{c} long" for c in PLANES))
 
@@ -113,29 +124,34 @@ def fine_signatures(open_sets: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [np.frombuffer(x, np.uint64) for x in batch.column(1).to_pylist()]
-            if grams:
-                fine = signed(np.concatenate([planes(minima(g, np.zeros(1, np.int64), MINIMA, FINE), FINE_BITS) for g in grams]))
-                columns = [np.ascontiguousarray(c) for c in (*fine.T, *short_bitmaps(grams).T)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, columns)], ["sid", *FINE_PLANES, *SHORT_COLUMNS])
+            for part, sizes in _slices(batch, 1, LOT):
+                flat, _ = _flat(part, 0, 1)
+                starts = np.append(0, np.cumsum(sizes)[:-1])
+                fine = signed(planes(minima(flat, starts, MINIMA, FINE), FINE_BITS))
+                columns = [np.ascontiguousarray(c) for c in (*fine.T, *short_bitmaps(np.split(flat, starts[1:])).T)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, columns)], ["sid", *FINE_PLANES, *SHORT_COLUMNS])
 
     return about_wanted(open_sets.select("sid", "grams"), wanted).mapInArrow(run, "sid long, " + ", ".join(f"{c} long" for c in (*FINE_PLANES, *SHORT_COLUMNS)))
 
 
-def _differ(left: str, right: str, prefix: str = "b", bits: int = BITS, count: int = MINIMA) -> Column:
+def _differ(left: str, right: str) -> Column:
     """The kept minima that differ: a minimum differs where any of its planes does."""
     of_word = []
-    for w in range(count // 64):
+    for w in range(MINIMA // 64):
         x = None
-        for j in range(bits):
-            plane = F.col(f"{left}{prefix}{j}_{w}").bitwiseXOR(F.col(f"{right}{prefix}{j}_{w}"))
+        for j in range(BITS):
+            plane = F.col(f"{left}b{j}_{w}").bitwiseXOR(F.col(f"{right}b{j}_{w}"))
             x = plane if x is None else x.bitwiseOR(plane)
         of_word.append(F.bit_count(x))
     return sum(of_word[1:], of_word[0])
 
 
-def _near(p: str, q: str, percent: int) -> Column:
-    return short_overlap(p, q, percent) & (_differ(f"{p}.", f"{q}.", "f", FINE_BITS, FINE) <= most_differing(percent, FINE, FINE_BITS))
+def _near(values: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of rows p and q that the longer signatures do not rule out."""
+    differ = np.zeros(len(p), np.int64)
+    for w in range(FINE // 64):
+        differ += np.bitwise_count(np.bitwise_or.reduce([(v := values[f"f{j}_{w}"])[p] ^ v[q] for j in range(FINE_BITS)]))
+    return differ <= most_differing(percent, FINE, FINE_BITS)
 
 
 def _bounded(pairs: DataFrame, open_sets: DataFrame, percent: int) -> DataFrame:

@@ -9,8 +9,9 @@ the exclusive or is at most the symmetric difference); what passes is verified b
 
 Tiles with the same members are one. They are worked in steps so that groups of near copies don't become all their pairs:
 first every set meets the centre of one of its tiles; then, in rounds, the members outside a tile's largest component meet one
-member of it, each in one tile; last, only members of a tile that are still in different components are paired. Components come from hooking and pointer
-jumping over stored tables, later ones over the labels of earlier ones. Region, tables and rounds change cost, never links.
+member of it, each in one tile; last, only members of a tile that are still in different components are paired. A tile's members are dealt to blocks, and
+a task holds two blocks against each other at a time. Components come from hooking and pointer
+jumping over stored tables, later ones over the labels of earlier ones. Region, tables, rounds and blocks change cost, never links.
 
 Defined cases: null or wordless texts have an empty set and no links, and are their own component; fewer than five words
 are one shingle; repeated rows share a component; a component without any id has a null id; an empty table
@@ -49,6 +50,9 @@ FEW_LINKS = 1000
 #: Numbers of a short bitmap, which pairs of a tile are held against before they are made.
 SHORT = 8
 SHORT_COLUMNS = tuple(f"g{i}" for i in range(SHORT))
+#: Members of a block of a tile, pairs held against each other at once, rows taken together, rows of a group that is worked as a table of its own, and rows and
+#: pairs for a task more.
+BLOCK, AT_ONCE, ROWS_TOGETHER, WIDE, TASK_ROWS, TASK_PAIRS = 4096, 1 << 15, 1 << 14, 32, 1 << 13, 1 << 25
 _LOW, _HIGH = np.uint64(0xFFFFFFFF), np.uint64(32)
 
 
@@ -356,21 +360,147 @@ def _pair(a: str, b: str) -> list[Column]:
 
 @dataclass(frozen=True)
 class Sketch:
-    """What rules a pair out before its sets are compared. of(open_sets, wanted): sid and the columns that near() needs of both, at least for the
-    sets in wanted; near(p, q, percent): a condition on the members p and q of a tile (the struct s, and columns); bounded(pairs, open_sets, percent): the
-    pairs it leaves. centres: how many members of a tile the others meet in a round."""
+    """What rules a pair out before its sets are compared. of(open_sets, wanted): sid, the short bitmap and the other columns that near() needs of both, at least for
+    the sets in wanted; near(values, p, q, percent): which of the pairs of rows p and q stay that the short bitmaps leave; bounded(pairs, open_sets,
+    percent): the pairs it leaves. centres: how many members of a tile the others meet in a round."""
 
     columns: tuple[str, ...]
     of: Callable[[DataFrame, DataFrame], DataFrame]
-    near: Callable[[str, str, int], Column]
+    near: Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray, int], np.ndarray] | None
     bounded: Callable[[DataFrame, DataFrame, int], DataFrame]
     centres: int = 1
 
 
-def short_overlap(p: str, q: str, percent: int) -> Column:
-    differ = sum((F.bit_count(F.col(f"{p}.{c}").bitwiseXOR(F.col(f"{q}.{c}"))) for c in SHORT_COLUMNS), F.lit(0))
-    sizes = F.col(f"{p}.s.n") + F.col(f"{q}.s.n")
-    return (sizes - differ) * (100 + percent) >= sizes * (2 * percent)
+def short_overlap(values: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs of rows p and q the short bitmaps don't rule out; a column of rows and a line of rows give a table."""
+    differ = np.zeros(np.broadcast_shapes(p.shape, q.shape), np.int32)
+    for c in SHORT_COLUMNS:
+        v = values[c]
+        differ += np.bitwise_count(v[p] ^ v[q])
+    n = values["n"]
+    return differ * (100 + percent) <= (n[p] + n[q]) * (100 - percent)
+
+
+def _likely(v: dict[str, np.ndarray], p: np.ndarray, q: np.ndarray, percent: int) -> np.ndarray:
+    """Labels differ, and `_possible` and the short bitmaps leave room for the threshold."""
+    n, less, less_2, known, label = (v[c] for c in ("n", "less", "less_2", "known_2", "label"))
+    most = np.where(known[p] & known[q], np.minimum(less_2[p], less_2[q]), np.minimum(less[p], less[q]))
+    small, large = np.minimum(n[p], n[q]), np.maximum(n[p], n[q])
+    return (label[p] != label[q]) & (most * (100 + percent) >= (small + large) * percent) & (small * 100 >= large * percent) & short_overlap(v, p, q, percent)
+
+
+def _met(v: dict[str, np.ndarray], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that are `_likely`. v: x, y, i, j and side of rows sorted by these and label: within a group of equal i and j all rows of different labels
+    meet, in any other those of side 0 meet those of side 1."""
+    label, total = v["label"], len(v["label"])
+    less = v["n"] - v["alone"]
+    v = v | {"less": less, "less_2": less - v["alone_2"], "known_2": v["alone_2"] >= 0}
+    key = [v[c] for c in _ROW[:5]]
+    first = np.flatnonzero(runs(*key[:4]))
+    size = np.diff(np.append(first, total))
+    end, middle = first + size, first + np.add.reduceat(1 - key[4], first)
+    at = np.flatnonzero(runs(*key, label))
+    after = np.repeat(np.append(at[1:], total), np.diff(np.append(at, total)))  # where the rows of the next label begin
+    within = key[2][first] == key[3][first]
+    # Small groups: their pairs are numbered.
+    row = np.flatnonzero(np.repeat(size < WIDE, size))
+    group = np.repeat(np.arange(len(first)), size)[row]
+    lo = np.where(within[group], after[row], middle[group])
+    count = np.where(within[group] | (key[4][row] == 0), end[group] - lo, 0)
+    done = np.cumsum(count)
+    cut = np.flatnonzero(np.diff(done // AT_ONCE)) + 1
+    for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(row)]):
+        if a < b:
+            p = np.repeat(row[a:b], count[a:b])
+            q = np.arange(len(p)) - np.repeat(done[a:b] - count[a:b] - (done[a] - count[a]) - lo[a:b], count[a:b])
+            stay = _likely(v, p, q, percent)
+            yield p[stay], q[stay]
+    # Large ones: tables of some rows by all that they meet.
+    for g in np.flatnonzero(size >= WIDE):
+        a, b, c = (int(end[g]) if within[g] else int(middle[g])), int(middle[g]), int(end[g])
+        at_row, last = int(first[g]), a
+        while at_row < last:
+            from_q = int(after[at_row]) if within[g] else b
+            if from_q == c:
+                break
+            to = min(last, at_row + max(1, AT_ONCE // (c - from_q)))
+            p, q = np.arange(at_row, to), np.arange(from_q, c)
+            if not within[g] and label[at_row] == label[to - 1]:
+                q = q[label[q] != label[at_row]]
+            stay = _likely(v, p[:, None], q[None, :], percent)
+            if within[g]:
+                stay &= q[None, :] >= after[p][:, None]
+            k, m = np.nonzero(stay)
+            yield p[k], q[m]
+            at_row = to
+
+
+#: The numbers of a row that is compared, before its sketch.
+_ROW = ("x", "y", "i", "j", "side", *ABOUT, "label")
+
+
+def _compared(rows: DataFrame, sketch: Sketch, percent: int, n_rows: int, n_pairs: int) -> DataFrame:
+    """Pairs (a, b) that the sketch leaves of rows (_ROW and the sketch's columns), as `_met` brings them together."""
+
+    def compare(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = pa.Table.from_batches(batches).combine_chunks().to_batches()[0]
+        v = {c: batch.column(c).to_numpy() for c in _ROW} | {c: batch.column(c).to_numpy().view(np.uint64) for c in sketch.columns}
+        found = [np.empty(0, v["sid"].dtype)] * 2
+        for p, q in _met(v, percent):
+            if sketch.near:
+                stay = sketch.near(v, p, q, percent)
+                p, q = p[stay], q[stay]
+            # Sets meet in each tile that they share.
+            s, t = v["sid"][p], v["sid"][q]
+            found = [np.append(found[0], np.minimum(s, t)), np.append(found[1], np.maximum(s, t))]
+            if len(found[0]) > AT_ONCE:
+                found = list(np.unique(np.stack(found), axis=1))
+                if len(found[0]) > AT_ONCE // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["a", "b"])
+                    found = [x[:0] for x in found]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.unique(np.stack(found), axis=1)], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            # The last group may go on in the next batch.
+            at = int(np.flatnonzero(runs(*(batch.column(c).to_numpy() for c in _ROW[:4])))[-1])
+            if at and sum(x.num_rows for x in held) >= ROWS_TOGETHER:
+                yield from compare([*held[:-1], batch.slice(0, at)])
+                held = [batch.slice(at)]
+        if held:
+            yield from compare(held)
+
+    about = [F.col("s.sid").alias("sid"), F.col("s.n").alias("n"), F.col("s.alone").alias("alone"), F.coalesce("s.alone_2", F.lit(-1)).cast("long").alias("alone_2")]
+    flat = rows.select(*[F.col(c).cast("long").alias(c) for c in _ROW[:5]], *about, "label", *sketch.columns)
+    parts = min(PARTITIONS, int(1 + n_rows // TASK_ROWS + n_pairs // TASK_PAIRS))
+    return flat.repartition(parts, *_ROW[:4]).sortWithinPartitions(*_ROW[:5], "label").mapInArrow(run, "a long, b long").distinct()
+
+
+def _blocks(left: DataFrame) -> DataFrame:
+    """left with the number of its tile's blocks (_of) and its own one (_own)."""
+    of = left.groupBy("x", "y").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("_of"))
+    return left.join(of, ["x", "y"]).withColumn("_own", F.pmod(F.xxhash64(F.lit(2), "s.sid"), F.col("_of")))
+
+
+def _with_centres(left: DataFrame, centres: int, turn: int) -> DataFrame:
+    """The members of a block on side 0, and its tile's centres on side 1: the first in the turn's order."""
+    rows = _blocks(left)
+    order = Window.partitionBy("x", "y").orderBy(F.xxhash64(F.lit(turn), "s.sid"))
+    few = rows.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= centres)
+    no = F.lit(-1).cast("long").alias("j")
+    members = rows.select("x", "y", "s", "label", F.col("_own").alias("i"), no, F.lit(0).alias("side"))
+    return members.union(few.select("x", "y", "s", "label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)).alias("i"), no, F.lit(1).alias("side")))
+
+
+def _with_all(left: DataFrame) -> DataFrame:
+    """Each two blocks of a tile, the second on side 1, and each block by itself."""
+    rows = _blocks(left).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
+    i, j = F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j")
+    return rows.select("x", "y", "s", "label", i, j, (F.col("_own") > F.col("_other")).cast("int").alias("side"))
 
 
 def settle(shared: DataFrame, open_sets: DataFrame, sketch: Sketch, scratch: Scratch, percent: int) -> DataFrame:
@@ -400,12 +530,8 @@ def settle(shared: DataFrame, open_sets: DataFrame, sketch: Sketch, scratch: Scr
         else:
             if known is None:
                 known = scratch.write(sketch.of(open_sets, left.select("s.sid").distinct()), "known")
-            members = left.join(known, F.col("s.sid") == known["sid"]).select("x", "y", "s", "label", *sketch.columns)
-            order = Window.partitionBy("x", "y").orderBy(F.xxhash64(F.lit(turn), "s.sid"))
-            centre = members.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= sketch.centres)
-            p, q = members.alias("p"), centre.alias("q")
-            apart = (F.col("p.label") != F.col("q.label")) & _possible("p.s", "q.s", percent) & sketch.near("p", "q", percent)
-            meet = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & apart).select(*_pair("p.s.sid", "q.s.sid")).distinct()
+            dealt = _with_centres(left, sketch.centres, turn).withColumn("sid", F.col("s.sid"))
+            meet = _compared(dealt.join(known, "sid"), sketch, percent, size_left["rows"], size_left["rows"] * sketch.centres)
         found = scratch.write(_verified(scratch.write(meet, "pairs"), open_sets, percent), "links")
         n_found = found.count()
         if n_found == 0:
@@ -415,13 +541,10 @@ def settle(shared: DataFrame, open_sets: DataFrame, sketch: Sketch, scratch: Scr
             left = scratch.write(_open(shared, labels), "left")
             break
         scratch.drop(left)
-    # A pair is made in the first of its tiles only.
-    mine = left.groupBy("s.sid").agg(F.collect_set("x").alias("all"))
-    mine = mine.join(known if known is not None else sketch.of(open_sets, mine.select("sid")), "sid")
-    before = left.join(mine, F.col("s.sid") == mine["sid"]).select("x", "y", "s", "label", F.filter("all", lambda t: t < F.col("x")).alias("before"), *sketch.columns)
-    p, q = before.alias("p"), before.alias("q")
-    across = (F.col("p.label") < F.col("q.label")) & _possible("p.s", "q.s", percent) & sketch.near("p", "q", percent) & ~F.arrays_overlap("p.before", "q.before")
-    rest = p.join(q, (F.col("p.x") == F.col("q.x")) & (F.col("p.y") == F.col("q.y")) & across).select(*_pair("p.s.sid", "q.s.sid")).distinct()
+    if known is None:
+        known = sketch.of(open_sets, left.select("s.sid").distinct())
+    dealt = _with_all(left).withColumn("sid", F.col("s.sid")).join(known, "sid")
+    rest = _compared(dealt, sketch, percent, size_left["rows"] or 0, pairs)
     more = scratch.write(_verified(scratch.write(sketch.bounded(rest, open_sets, percent), "pairs"), open_sets, percent), "links")
     return labels if more.isEmpty() else _joined(labels, more, scratch)
 
@@ -455,4 +578,4 @@ def join(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFra
     scratch.keep(stored, ids, shared)
     open_sets = scratch.write(_open_sets(one, shared.select("s.sid").distinct()), "open")
     scratch.drop(stored)
-    return classes(ids, settle(shared, open_sets, Sketch(SHORT_COLUMNS, lambda found, _: found.select("sid", *SHORT_COLUMNS), short_overlap, _bounded), scratch, percent), scratch)
+    return classes(ids, settle(shared, open_sets, Sketch(SHORT_COLUMNS, lambda found, _: found.select("sid", *SHORT_COLUMNS), None, _bounded), scratch, percent), scratch)

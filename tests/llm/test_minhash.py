@@ -102,3 +102,37 @@ def test_sets_without_a_partner_are_not_shuffled(spark, tmp_path):
     got = {r[0] for r in ngram_join.about_wanted(one, wanted).select("sid").collect()}
     assert got >= set(range(0, 20000, 4)) and len(got) < 5100  # SLOTS slots of one bit would let hundreds more pass
     assert ngram_join.wanted_sets(one, wanted).count() == 5000
+
+
+def test_tiles_in_blocks_make_the_same_pairs(spark, monkeypatch):
+    """Sets just under the threshold, all in one tile: each pair of them is looked at once, whatever the blocks, and a task never holds more than two blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 1 << 63, 70, dtype=np.uint64)
+    sets = [np.unique(np.append(common, rng.integers(0, 1 << 63, int(k), dtype=np.uint64))) for k in rng.integers(5, 14, 60)]
+    rows = [(1, 2, (i, len(g), 0, None if i % 3 else 0), i // 2) for i, g in enumerate(sets)]
+    left = spark.createDataFrame(rows, "x long, y long, s struct<sid:long,n:long,alone:long,alone_2:long>, label long")
+    values = {c: v for c, v in zip(ngram_join.SHORT_COLUMNS, ngram_join.short_bitmaps(sets).view(np.uint64).T)}
+    known = spark.createDataFrame([(i, *map(int, b)) for i, b in enumerate(ngram_join.short_bitmaps(sets))], "sid long, " + ", ".join(f"{c} long" for c in ngram_join.SHORT_COLUMNS))
+    sketch = ngram_join.Sketch(ngram_join.SHORT_COLUMNS, None, None, None)
+    dealt = ngram_join._with_all(left).withColumn("sid", ngram_join.F.col("s.sid"))
+    assert max(r["count"] for r in dealt.groupBy("i", "j").count().collect()) < 40
+    got = {tuple(r) for r in ngram_join._compared(dealt.join(known, "sid"), sketch, 80, 60, 1770).collect()}
+    n = np.array([len(g) for g in sets])
+    p, q = np.triu_indices(60, 1)
+    stay = ngram_join.short_overlap(values | {"n": n}, p, q, 80) & (p // 2 != q // 2) & (np.minimum(n[p], n[q]) * 100 >= np.maximum(n[p], n[q]) * 80)
+    assert got == {(int(a), int(b)) for a, b in zip(p[stay], q[stay])} and 100 < len(got) < 1700
+    texts = _texts()
+    frame = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], SCHEMA)
+    assert sorted(map(tuple, minhash.join(frame).collect())) == _components(texts)
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.join(frame).collect()) == [r[:3] for r in _components(texts, 5)]
+
+
+def test_minima_in_lots_are_those_of_each_set(monkeypatch):
+    monkeypatch.setattr(minhash, "LOT", 64)
+    rng = np.random.default_rng(4)
+    sets = [rng.integers(0, 1 << 63, int(k), dtype=np.uint64) for k in rng.integers(1, 200, 40)]
+    starts = np.append(0, np.cumsum([len(s) for s in sets])[:-1])
+    least = minhash.minima(np.concatenate(sets), starts, minhash.MINIMA, 100)
+    for k, s in enumerate(sets):
+        assert [int(x) for x in least[:, k]] == [int(((s ^ minhash._XOR[i]) * minhash._MUL[i]).min()) for i in range(minhash.MINIMA, minhash.MINIMA + 100)]
