@@ -120,6 +120,25 @@ def test_holders_by_contains(spark):
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and 5 < len(want) < 60
 
 
+def test_texts_with_a_common_name_are_not_shuffled(spark, monkeypatch):
+    """Names that many texts hold settle these where they are; the others are found by their rarest grams, and only grams of names leave a task."""
+    monkeypatch.setattr(anchors, "FIRST", 1)
+    monkeypatch.setattr(anchors, "GROUPS", 2)
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    texts = [(rng.choice(["p", "q", "r", None]), i, word(120) + rng.choice(["", "", " than "]) + word(120)) for i in range(300)]
+    names = [(g, "than") for g in ("p", "q", "r", None)] + [(rng.choice(["p", "q", None]), word(rng.randrange(4, 8))) for _ in range(120)]
+    asked, grams = [], []
+    real, kept = anchors._candidates, anchors._kept
+    monkeypatch.setattr(anchors, "_candidates", lambda rows, rarest: (asked.append(rows.count()), real(rows, rarest))[1])
+    monkeypatch.setattr(anchors, "_kept", lambda rows, by, wanted: (out := kept(rows, by, wanted), grams.append((rows.count(), out.count())))[0])
+    got = anchors.holders(spark.createDataFrame(names, "g string, name string"), spark.createDataFrame(texts, "g string, k int, content string"), "g", "k").collect()
+    want = {(g, k) for g, k, t in texts for h, n in names if g == h and n in t}
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and 60 < len(want) < 300
+    assert len(asked) == 1 and 200 < asked[0] < 290  # all but those of two groups that hold their group's first name
+    assert grams[0][1] < grams[0][0] / 10
+
+
 def test_advisories_are_looked_up_once_for_a_coordinate(spark):
     from quarryscan.plans import fixture_queries
 
